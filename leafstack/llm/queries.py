@@ -31,3 +31,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafstack.llm.bpe import encode_documents
 
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+@query("op9_sharding")
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of nearly equal bytes."""
+    from leafstack.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), shards=24)
