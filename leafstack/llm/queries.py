@@ -39,3 +39,22 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafstack.llm.sharding import shard_documents
 
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
+
+
+OP7_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) e from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select q.vec_id query_id, c.vec_id, cast(list_inner_product(cast(q.e as double[]), cast(c.e as double[])) as bigint) score from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from p)
+select query_id, cast(rank as integer) rank, vec_id, score from r where rank <= 20
+"""
+
+
+@query("op7_topk", OP7_SQL)
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best partners of each vector whose vec_id is divisible by 20."""
+    from pyspark.sql import functions as F
+
+    from leafstack.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)

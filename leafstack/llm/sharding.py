@@ -163,7 +163,9 @@ def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text
         where = F.lit(False)
         for a, b in ranges:
             where = where | ((F.col("end") >= a) & (F.col("start") <= b))
-        return [(r.start, r.end) for r in laid.filter(where & (F.floor(F.col("start") / step) != F.floor((F.col("end")) / step)) if step > 1 else laid.filter(where)).select("start", "end").collect()]
+        if step > 1:
+            where &= F.floor(F.col("start") / step) != F.floor(F.col("end") / step)
+        return [(r.start, r.end) for r in laid.filter(where).select("start", "end").collect()]
 
     cuts = minimax_cuts(total, shards, look)
     shard = F.lit(0)
