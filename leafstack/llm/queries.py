@@ -58,3 +58,11 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafstack.llm.topk import top_k
 
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op6_media")
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as a progressive JPEG and read back, as digests and features."""
+    from leafstack.llm.media import media_column
+
+    return media_column(table(spark, sf_dir, "documents"), outputs=("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"))
