@@ -66,3 +66,11 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafstack.llm.media import media_column
 
     return media_column(table(spark, sf_dir, "documents"), outputs=("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"))
+
+
+@query("op10_html")
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All visible text of every page."""
+    from leafstack.llm.html import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
