@@ -74,3 +74,58 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafstack.llm.html import extract_text
 
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op1_quality")
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and verdicts on every document."""
+    from leafstack.llm.quality import judge
+
+    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "p_text", "p_toxic", "host_posterior", "path_posterior", "score", "accepted")
+
+
+#: The mixture of op5: domains are four groups of sources; other names have the weight 1.
+MIX_WEIGHTS = [{"0": 4, "1": 3, "2": 2, "3": 1}, {"en": 12, "fr": 4, "de": 3, "es": 1}, {"src0": 2}]
+MIX_PART, MIX_EPOCHS, MIX_SEED = (3, 4), 3, "mix-1"
+_LEVEL = """
+{n}n as (select {keys}, cast(sum(capacity) as bigint) capacity, cast({weight} as bigint) weight from leaves group by {keys}),
+{n}b as (select n.*, {budget} budget from {n}n n {join}),
+{n}f as (select *, capacity * sum(weight) over ({part} order by capacity / weight, {name} nulls first rows between current row and unbounded following)
+  <= weight * (budget - coalesce(sum(capacity) over ({part} order by capacity / weight, {name} nulls first rows between unbounded preceding and 1 preceding), 0)) fill from {n}b),
+{n}g as (select *, coalesce(sum(case when fill then capacity end) over ({part0}), 0) given, sum(case when not fill then weight end) over ({part0}) others from {n}f),
+{n} as (select {keys}, capacity, cast(case when fill then capacity else least(capacity, (weight * (budget - given)) // others) end as bigint) alloc from {n}g),
+"""
+
+
+def _case(column: str, given: dict[str, int]) -> str:
+    return f"case {column} " + " ".join(f"when '{k}' then {v}" for k, v in given.items()) + " else 1 end"
+
+
+def _op5_sql() -> str:
+    parts = [
+        dict(n="a", keys="domain", weight=_case("domain", MIX_WEIGHTS[0]), budget="(select least((sum(tokens) * %d) // %d, sum(capacity)) from leaves)" % MIX_PART, join="", part="", part0="", name="domain"),
+        dict(n="b", keys="domain, lang", weight=_case("lang", MIX_WEIGHTS[1]), budget="a.alloc", join="join a on n.domain is not distinct from a.domain", part="partition by domain", part0="partition by domain", name="lang"),
+        dict(n="c", keys="domain, lang, source", weight=_case("source", MIX_WEIGHTS[2]), budget="b.alloc", join="join b on n.domain is not distinct from b.domain and n.lang is not distinct from b.lang", part="partition by domain, lang", part0="partition by domain, lang", name="source"),
+    ]
+    return rf"""
+with d as (select doc_id, lang, source, cast(cast(regexp_extract(source, '(\d+)$', 1) as bigint) % 4 as varchar) domain, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) n_tokens from documents),
+leaves as (select domain, lang, source, cast(sum(n_tokens) as bigint) tokens, cast(sum(n_tokens) * {MIX_EPOCHS} as bigint) capacity from d group by all),
+{"".join(_LEVEL.format(**p) for p in parts)}
+p as (select domain, lang, source, case when capacity > 0 then alloc // (capacity // {MIX_EPOCHS}) else 0 end whole, case when capacity > 0 then alloc % (capacity // {MIX_EPOCHS}) else 0 end rest from c),
+o as (select d.*, p.whole, p.rest, md5(concat('{MIX_SEED}:', p.whole, ':', d.doc_id)) place from d join p on d.domain is not distinct from p.domain and d.lang is not distinct from p.lang and d.source is not distinct from p.source),
+u as (select *, sum(n_tokens) over (partition by domain, lang, source order by place) upto from o)
+select doc_id, domain, lang, source, n_tokens, cast(whole + case when upto <= rest then 1 else 0 end as bigint) n_copies from u where whole + case when upto <= rest then 1 else 0 end > 0
+"""
+
+
+@query("op5_mixing", _op5_sql())
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a mixture of three quarters of all tokens, and how often it holds each."""
+    from pyspark.sql import functions as F
+
+    from leafstack.llm.mixing import mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    domain = (F.regexp_extract("source", r"(\d+)$", 1).try_cast("long") % 4).cast("string")
+    return mix(docs, domain, MIX_WEIGHTS, MIX_PART, MIX_EPOCHS, MIX_SEED).select("doc_id", "domain", "lang", "source", "n_tokens", "n_copies")
