@@ -15,6 +15,10 @@ from leafstack.llm.common import BROADCAST_BYTES, chunks, cut, lower_ascii, text
 WORD_BITS = 16
 #: Labelled rows that the classifier is fitted on, at most: those with the smallest hashes of their keys.
 SAMPLE_ROWS = 6000
+#: Bytes at the beginning of a word that are a feature of their own.
+STEM = 6
+#: Standard deviations by which a word's share of the target must differ from the mean for the word to count.
+TELLING = 5.0
 #: Estimates of prior strength (in documents) stay within these bounds.
 STRENGTH = (1.0, 1e6)
 SALTS = 16
@@ -43,9 +47,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     count = [np.diff(np.concatenate([[0], np.cumsum(kind == k)])[offsets]) for k in (0, 1, 2, 3)]
     length = ends - starts
     per = lambda x: np.bincount(doc, weights=x, minlength=n) / words
+    plain = np.where(kind == 0, 32, lower_ascii(data)).astype(np.uint8)  # as features, words have no marks
+    first, end, at = word_spans(plain, offsets)
+    names, of = word_hashes(plain, first, end), np.repeat(np.arange(n), np.diff(at))
+    stems = ~word_hashes(plain, first, np.minimum(end, first + STEM))
+    names, of = np.concatenate([names, stems]), np.concatenate([of, of])
     again = np.zeros(len(hashes), bool)
     again[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
-    pair = np.unique((doc.astype(np.uint64) << np.uint64(WORD_BITS)) | (hashes >> np.uint64(64 - WORD_BITS)))
+    pair = np.unique((of.astype(np.uint64) << np.uint64(WORD_BITS)) | (names >> np.uint64(64 - WORD_BITS)))
     owner, word = (pair >> np.uint64(WORD_BITS)).astype(np.int64), (pair & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
     last = kind[ends - 1] if len(ends) else np.zeros(0, np.int8)
     breaks = np.diff(np.concatenate([[0], np.cumsum(data == 10)])[offsets])
@@ -69,13 +78,15 @@ class Head:
 
 
 def fit(shape: np.ndarray, owner: np.ndarray, word: np.ndarray, target: np.ndarray, steps: int = 300, decay: float = 2e-3) -> Head:
-    """Adam on the mean logistic loss with L2; words in fewer than three texts have no weight. One class only: its share."""
+    """Adam on the mean logistic loss with L2; words in fewer than three texts, or whose share of the target is within chance, have no weight. One class only: its share."""
     n, width = shape.shape
     share = (target.sum() + 1) / (n + 2)
     head = Head(float(np.log(share / (1 - share))), np.zeros(width), np.zeros(1 << WORD_BITS))
     if n == 0 or target.min() == target.max():
         return head
-    known = np.bincount(word, minlength=1 << WORD_BITS) >= 3
+    texts, hits = (np.bincount(word, weights=w, minlength=1 << WORD_BITS) for w in (np.ones(len(word)), target[owner]))
+    mean = target.mean()
+    known = (texts >= 3) & (np.abs(hits - texts * mean) >= TELLING * np.sqrt(np.maximum(texts * mean * (1 - mean), 1e-12)))
     owner, word = owner[known[word]], word[known[word]]
     centre, scale = shape.mean(0), shape.std(0) + 1e-6
     x = (shape - centre) / scale
