@@ -129,3 +129,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     domain = (F.regexp_extract("source", r"(\d+)$", 1).try_cast("long") % 4).cast("string")
     return mix(docs, domain, MIX_WEIGHTS, MIX_PART, MIX_EPOCHS, MIX_SEED).select("doc_id", "domain", "lang", "source", "n_tokens", "n_copies")
+
+
+@query("op4_substring")
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document when passages of 13 words that an earlier one has are gone."""
+    from leafstack.llm.substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 13, outputs=("n_words", "n_removed", "kept_sha256"))
