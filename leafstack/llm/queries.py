@@ -137,3 +137,11 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafstack.llm.substring import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 13, outputs=("n_words", "n_removed", "kept_sha256"))
+
+
+@query("op2_minhash")
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of every document."""
+    from leafstack.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
