@@ -145,3 +145,11 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafstack.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op8_lm")
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and attention scores of every document."""
+    from leafstack.llm.lm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
