@@ -1,10 +1,64 @@
-"""A corpus from documents, stage by stage."""
+"""A training corpus from documents: five stages, each on all that the one before it has kept.
+
+Each stage is f(spark, docs, sf_dir) -> DataFrame; its result is written as Parquet and read again as the next
+one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafstack.llm.bpe import encode_documents
+from leafstack.llm.common import cut, table
+from leafstack.llm.minhash import keep_one
+from leafstack.llm.mixing import copies, mix
+from leafstack.llm.quality import judge
+from leafstack.llm.queries import MIX_WEIGHTS
+from leafstack.llm.substring import remove_repeats
+
+#: Repeated passages of at least so many words go.
+PASSAGE = 50
+#: The mixture holds nine tenths of the tokens, no document twice.
+PART, EPOCHS, SEED = (9, 10), 1, "pipeline-1"
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return judge(docs, table(spark, sf_dir, "labels")).filter("accepted").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, the one with the smallest doc_id."""
+    return keep_one(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without long passages that an earlier one has; n_chars follows."""
+    left = remove_repeats(docs, PASSAGE)
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else left
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mixture."""
+    domain = (F.regexp_extract("source", r"(\d+)$", 1).try_cast("long") % 4).cast("string")
+    return copies(mix(docs, domain, MIX_WEIGHTS, PART, EPOCHS, SEED), docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and a digest of what they decode to."""
+    import public_tokenizers
+
+    return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id", "lang", "source"), outputs=("n_tokens", "ids", "decoded_sha256"))
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mixing", mixing), ("encode", encode)]
+#: BagMinHash, the classifier and the token ids are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
