@@ -1 +1 @@
-
+"""Operators over DataFrames of entries, nodes and events."""

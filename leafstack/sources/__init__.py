@@ -1 +1 @@
-
+"""Readers of listings, archives, pages and feeds."""

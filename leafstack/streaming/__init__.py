@@ -1 +1 @@
-
+"""Change events as streams."""
