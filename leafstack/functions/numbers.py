@@ -15,7 +15,7 @@ MIN_X, MIN_Y, MAX_X, MAX_Y = 1, 2, 4, 8
 
 
 def bytes_human(size: Column) -> Column:
-    """Three significant digits and a unit from B to TB, by thousands."""
+    """Three significant digits and a unit from B to TB, by thousands; halves are rounded up."""
     size = size.cast("double")
     power = F.when(size < 1e3, 0).when(size < 1e6, 1).when(size < 1e9, 2).when(size < 1e12, 3).otherwise(4)
     value = size / F.pow(F.lit(1000.0), power)
@@ -26,7 +26,7 @@ def bytes_human(size: Column) -> Column:
 
 def bytes_short(size: Column) -> Column:
     """Bytes as they are, else two, one or no decimals of KB, MB or GB."""
-    value, unit = size.cast("double"), F.lit(" GB")
+    value = size.cast("double")
     value = F.when(size < 1000000, value / 1e3).when(size < 1000000000, value / 1e6).otherwise(value / 1e9)
     unit = F.when(size < 1000000, " KB").when(size < 1000000000, " MB").otherwise(" GB")
     shown = F.when(value < 10, F.format_string("%.2f", value)).when(value < 100, F.format_string("%.1f", value)).otherwise(F.format_string("%.0f", value))
@@ -34,7 +34,7 @@ def bytes_short(size: Column) -> Column:
 
 
 def bytes_long(size: Column) -> Column:
-    dotted = F.regexp_replace(F.format_number(size, 0), "x", "")
+    dotted = F.format_number(size, 0)
     return F.when(size < 1000, F.concat(size.cast("string"), F.lit(" bytes"))).otherwise(F.concat(bytes_short(size), F.lit(" ("), dotted, F.lit(" bytes)")))
 
 
@@ -108,7 +108,7 @@ def date_1601(seconds: Column) -> Column:
 
 def date_filetime(ticks: Column) -> Column:
     """Ticks of 100 ns since 1601."""
-    return F.timestamp_micros(F.floor(ticks / F.lit(10)).cast("long") + FROM_1601 * 1000000)
+    return F.timestamp_micros(F.call_function("div", ticks.cast("long"), F.lit(10).cast("long")) + FROM_1601 * 1000000)
 
 
 def date_dos(packed: Column) -> Column:
