@@ -10,7 +10,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 #: Modules that register queries when they are imported.
-MODULES: tuple[str, ...] = ("leafstack.plans.listing", "leafstack.plans.trees", "leafstack.plans.scalars", "leafstack.plans.archives")
+MODULES: tuple[str, ...] = ("leafstack.plans.listing", "leafstack.plans.trees", "leafstack.plans.scalars", "leafstack.plans.archives", "leafstack.plans.readers")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
