@@ -120,7 +120,9 @@ def detect(data: bytes) -> tuple[str | None, float]:
         except UnicodeDecodeError:
             continue
         letters = common[: len(common) // 2]
-        lower = (_weight(text, letters) + 0.5 * _weight(text, letters.upper())) * _weight(text, common + common.upper()) ** 2
+        runs = [len(r) for r in re.findall("[^\x00-\x7f]+", text)]
+        joined = sum(n for n in runs if n > 1) / max(1, sum(runs))  # letters of these languages stand together, accents don't
+        lower = joined * (_weight(text, letters) + 0.5 * _weight(text, letters.upper())) * _weight(text, common + common.upper()) ** 2
         found.append((min(0.99, lower * 1.2 if lower > 0.4 else lower * 0.2), name))
     try:
         text = data.decode("cp1252")
