@@ -92,7 +92,7 @@ def mix(docs: DataFrame, domain: Column, weights: list[dict[str, int]], part: tu
         if size <= BROADCAST_BYTES:
             return rows.join(F.broadcast(plan), same).drop(*[f"p{c}" for c in levels])
         rows = rows.withColumn("__salt", F.pmod(F.xxhash64("__key"), F.lit(SALTS)))
-        plan = plan.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        plan = plan.withColumn("__salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         return rows.join(plan, [*same, F.col("__salt") == F.col("__salt2")]).drop("__salt", "__salt2", *[f"p{c}" for c in levels])
 
     placed = with_plan(small, plan).withColumn("place", place).withColumn("bucket", F.substring("place", 1, DIGITS))

@@ -200,7 +200,7 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
         scored = scored.join(F.broadcast(sites), same, "left")
     else:
         scored = scored.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
-        sites = sites.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        sites = sites.withColumn("__salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         scored = scored.join(sites, same & (F.col("__salt") == F.col("__salt2")), "left").drop("__salt", "__salt2")
     clip = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
     odds = lambda c: F.log(clip(c) / (1 - clip(c)))
