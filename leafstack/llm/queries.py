@@ -82,7 +82,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafstack.llm.quality import judge
 
     judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "p_text", "p_toxic", "host_posterior", "path_posterior", "score", "accepted")
+    return judged.select("doc_id", "p_text", "p_toxic", "host_posterior", "path_posterior", "score", judged.accepted.alias("keep"))
 
 
 #: The mixture of op5: domains are four groups of sources; other names have the weight 1.
