@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from leafstack.functions import bytes as B
+from leafstack.functions import codes as C
 from leafstack.plans.analogs import table
 from leafstack.registry import query
 from leafstack.sources import archives as A
@@ -164,13 +165,12 @@ def _watchable(sf_dir: str) -> str:
     return f"{sf_dir}/[e]vents.parquet"
 
 
-@query("short_codes")
+@query("short_codes", "with f as (select concat(p_type, ' ', p_size % 4) as name, min(p_partkey) first from part group by 1), r as (select *, row_number() over (partition by left(name, 4) order by first) k from f) select name, case when k = 1 then left(name, 4) else concat(left(name, 3), k) end code from r")
 def short_codes(spark, sf_dir):
-    """Codes of four characters for compression names, free of collisions, in the order of first use.
+    """Codes of four characters for the names of methods, in the order of first use.
 
-    The order decides, so the distinct names (a handful) are numbered in one place.
+    The order decides, so the distinct names (there are a few dozen methods) are numbered in one place.
     """
-    first = table(spark, sf_dir, "part").groupBy(c("p_type").alias("name")).agg(F.min("p_partkey").alias("first"))
-    code = F.rpad(F.regexp_replace("name", "[^A-Za-z0-9]", ""), 4, " ")
-    clash = F.expr("row_number() over (partition by code order by first) - 1")
-    return first.withColumn("code", F.substring(code, 1, 4)).withColumn("n", clash).select("name", F.when(c("n") == 0, c("code")).otherwise(F.concat(F.substring("code", 1, 2), F.lpad(c("n").cast("string"), 2, "0"))).alias("code"))
+    first = table(spark, sf_dir, "part").groupBy(F.concat(c("p_type"), F.lit(" "), (c("p_size") % 4).cast("string")).alias("name")).agg(F.min("p_partkey").alias("first"))
+    codes = C.short_codes([r.name for r in first.orderBy("first").collect()])
+    return spark.createDataFrame([*codes.items()], "name string, code string")

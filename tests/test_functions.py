@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from leafstack.functions import bytes as B
+from leafstack.functions import codes as C
 from leafstack.functions import numbers as N
 from leafstack.functions import text as T
 from leafstack.operators import dispatch as D
@@ -217,3 +218,8 @@ def test_orientation(spark):
     df = spark.createDataFrame([(a, b) for a in range(8) for b in range(8)], "a int, b int")
     got = {(r.a, r.b): r.c for r in df.select("a", "b", N.add_orientation(F.col("a"), F.col("b")).alias("c")).collect()}
     assert got[(4, 4)] == 3 and got[(7, 4)] == 0 and got[(4, 2)] == 5 and got[(0, 6)] == 6
+
+
+def test_codes():
+    names = ["Deflate64", "Quantum:7", "Quantum:31", "Quantum:32", "LZX:4", "Method 16", "Fast v2.0", "-lh5-", "-lh0-", "Stored", "Stored again", "None", "Store"]
+    assert list(C.short_codes(names).values()) == ["Df64", "Qua7", "Qu31", "Quan", "LZX4", "Mt16", "Fs20", "lh5", "None", "Stor", "Sto2", "Non2", "Sto3"]
