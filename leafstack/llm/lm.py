@@ -60,6 +60,21 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(work, "word long, n long, stem int").groupBy("word").agg(F.sum("n").alias("n"), F.min("stem").alias("stem"))
 
 
+def commonest(counts: DataFrame) -> DataFrame:
+    """(word, n) of the words above a count, chosen by a histogram so that they are at most HOT_WORDS.
+
+    No task hands on more than its own share of them, however many tasks there are.
+    """
+    bins = counts.groupBy(F.floor(F.log2("n") * 64).alias("bin")).agg(F.count("*").alias("words"), F.min("n").alias("n")).collect()  # some thousand rows at most
+    least, taken = None, 0
+    for r in sorted(bins, key=lambda r: -r.bin):
+        taken += r.words
+        if taken > HOT_WORDS:
+            break
+        least = r.n
+    return counts.filter(F.col("n") >= least if least is not None else F.lit(False)).select("word", "n")
+
+
 @dataclass
 class Vocabulary:
     """What every task knows of the counts: the commonest words by hash, and each id's normaliser."""
@@ -272,7 +287,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", traini
     texts = learn.count()
     words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, kinds = words + texts, distinct + (texts > 0)
-    hot = counts.orderBy(F.col("n").desc(), "word").limit(HOT_WORDS).select("word", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])
+    hot = commonest(counts).toPandas().sort_values(["n", "word"], ascending=[False, True])
     code, number = hot["word"].to_numpy(np.int64).view(np.uint64), hot["n"].to_numpy(np.int64)
     order, top = np.argsort(code), np.argsort(code[:WHOLE])
     known = Vocabulary(code[order], np.log10(number[order] + 1.0), code[:WHOLE][top], top + 1, np.zeros(IDS), float(np.log10(texts + 1)))
