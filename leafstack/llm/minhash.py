@@ -147,6 +147,89 @@ def _bag(raw) -> tuple[np.ndarray, np.ndarray]:
     return hashes, counts
 
 
+#: Nodes outside the largest class, and nodes of a bucket, that one block holds.
+FRINGE, BLOCK = 256, 1024
+
+
+def _across(left: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between classes within buckets: left has (bucket, doc, label, largest).
+
+    Nodes outside the largest class are dealt to blocks of about FRINGE, all nodes to blocks of about BLOCK, and each
+    pair of blocks is a group of its own. In a group the first block's bags stand as lists of nodes by shingle, and
+    the other's nodes stream by: the shingles of a node add up its overlap with all of them at once. A group gives
+    fewer links than it has nodes, as only those are put out that join classes not yet joined in it.
+    """
+    size = left.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.count_if(F.col("label") != F.col("largest")) / FRINGE).alias("fringes"))
+    rows = left.join(_small(cut(size, "minhash-sizes"), 48), "bucket")
+    dealt = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    fringe = rows.filter("label <> largest").select("bucket", dealt("fringes").alias("i"), every("blocks").alias("j"), F.lit(0).alias("side"), "doc", "label")
+    block = rows.select("bucket", every("fringes").alias("i"), dealt("blocks").alias("j"), F.lit(1).alias("side"), "doc", "label")
+    ids = cut(left.select("doc").distinct(), "minhash-ids")
+    texts = docs.join(_small(ids, 16), "doc", "left_semi").dropDuplicates(["doc"])
+    dealt_out = fringe.union(block).join(texts, "doc").select("bucket", "i", "j", "side", "doc", "label", "text")
+    dealt_out = dealt_out.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+
+    def work(batches):
+        here, held, index = None, [], None
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            columns = [c.to_pylist() for c in batch.columns[:-1]]
+            for bucket, i, j, side, doc, label, text in zip(*columns, batch.column("text"), strict=True):
+                if (bucket, i, j) != here:
+                    here, held, index = (bucket, i, j), [], None
+                bag = _instances(text.as_buffer())
+                if not side:
+                    held.append((doc, label, bag))
+                    continue
+                if not held:
+                    continue
+                index = index or _Index(held)
+                out += [(min(doc, x), max(doc, x)) for x in index.partners(bag, label, least)]
+            if out:
+                a, b = zip(*set(out), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt_out.mapInArrow(work, "a long, b long").distinct()
+
+
+def _instances(raw) -> np.ndarray:
+    """A bag as a sorted set: each occurrence of a shingle is an element of its own, so overlaps of bags are those of sets."""
+    hashes, counts = _bag(raw)
+    number = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.sort(np.where(number == 0, np.repeat(hashes, counts), mix(np.repeat(hashes, counts) + number.astype(np.uint64) * _GOLD)))
+
+
+class _Index:
+    """Nodes by element of their bags."""
+
+    def __init__(self, held: list[tuple[int, int, np.ndarray]]):
+        self.docs = np.array([d for d, _, _ in held])
+        self.labels = np.array([x for _, x, _ in held])
+        self.joined: dict[int, int] = {}  # classes that links found here have made part of another
+        self.sizes = np.array([len(b) for _, _, b in held])
+        elements, owners = np.concatenate([b for _, _, b in held]), np.repeat(np.arange(len(held)), self.sizes)
+        order = np.argsort(elements, kind="stable")
+        self.elements, first = np.unique(elements[order], return_index=True)
+        self.owners, self.first = owners[order], np.r_[first, len(elements)]
+
+    def partners(self, bag: np.ndarray, label: int, least: float) -> list[int]:
+        """One node of each other class that overlaps enough; these classes then are one with the given one, and give no more links here."""
+        at = np.minimum(np.searchsorted(self.elements, bag), len(self.elements) - 1)
+        at = at[self.elements[at] == bag]
+        start, n = self.first[at], self.first[at + 1] - self.first[at]
+        places = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum())) if len(n) else np.zeros(0, np.int64)
+        both = np.bincount(self.owners[places], minlength=len(self.docs))
+        while label in self.joined:
+            label = self.joined[label]
+        hit = np.flatnonzero((both / np.maximum(1, self.sizes + len(bag) - both) >= least) & (self.labels != label))
+        classes, one = np.unique(self.labels[hit], return_index=True)
+        if len(classes):
+            self.joined |= dict.fromkeys(classes.tolist(), label)
+            self.labels[np.isin(self.labels, classes)] = label
+        return self.docs[hit[one]].tolist()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(doc, label): for each node of the edges (a, b) the smallest node that it is connected with.
 
@@ -172,10 +255,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     """(key, class_id) for every row: class_id is the smallest key among the texts connected by weighted Jaccard of at least `least`.
 
     Bags are of five-word shingles. Texts with the same words are one node, named by its smallest key. In each
-    bucket of a band all nodes are first compared with the smallest one. A bucket whose nodes then still lie in
-    several classes has all its nodes outside its largest class compared with those of other classes; nodes already
-    connected need no comparison, so no bucket gives all its pairs unless they differ, and no link is left out that
-    a band shows. Every comparison is exact.
+    bucket of a band all nodes are first compared with the smallest one. In a bucket whose nodes then still lie in
+    several classes, the nodes outside its largest class are compared with all of other classes, block by block, and
+    one link for each class that a node meets is put out: nodes already connected need no comparison, no pairs are
+    written out, and no link between classes is left out that a band shows. Every comparison is exact.
 
     Null and wordless texts are alone in their class, as are rows with a null key (whose class is null). Repeated
     rows get equal rows. Rows that share a key but not their text get the class of their own text, or of the first
@@ -185,8 +268,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     known = given.filter("doc is not null and text is not null")
     base = cut(_sketch(known), "minhash-bands")
     nodes = base.groupBy("content").agg(F.min("doc").alias("node"))
-    named = cut(base.select("doc", "content").join(nodes, "content").select("doc", "node", "content").distinct(), "minhash-nodes")
-    firsts = named.filter("doc = node").select("doc", "content")
+    named = cut(base.select("doc", "content").join(nodes, "content").select("doc", "node", "content"), "minhash-nodes")
+    firsts = named.filter("doc = node").select("doc", "content").distinct()
     rows = base.join(firsts, ["doc", "content"]).select("doc", F.explode("bands").alias("bucket")).distinct()
     buckets = rows.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.max("doc").alias("other")).filter("pivot < other").select("bucket", "pivot")
     members = cut(rows.join(buckets, "bucket"), "minhash-buckets")
@@ -199,17 +282,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     left = placed.join(open_, "bucket", "left_semi")
     sizes = left.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most")).select("bucket", F.col("most.label").alias("largest"))
     left = cut(left.join(sizes, "bucket").filter("doc <> pivot"), "minhash-left")
-    x, y = left.filter("label <> largest").alias("x"), left.alias("y")
-    more = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.largest")) | (F.col("x.doc") < F.col("y.doc"))))
-    more = more.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut(more, "minhash-more")
-    if not more.isEmpty():
-        new = cut(_similar(more, known, least), "minhash-more-links")
-        if not new.isEmpty():
-            labels = components(links.union(new))
+    found = cut(_across(left, known, least), "minhash-across")
+    if not found.isEmpty():
+        labels = components(links.union(found))
     final = named.join(_small(labels, 48).select(F.col("doc").alias("node"), "label"), "node", "left").groupBy("doc").agg(F.min(F.coalesce("label", "node")).alias("label"))
     final = cut(final.filter("label <> doc"), "minhash-classes")
-    for x in (base, members, pairs, links, placed, left, more):
+    for x in (base, members, pairs, links, placed, left, found):
         drop_cut(x)
     keys = docs.select(F.col(f"`{key}`").alias("__key"))
     return keys.join(_small(final, 48).select(F.col("doc").alias("__doc"), "label"), F.col("__key") == F.col("__doc"), "left").select(F.col("__key").alias(key), F.coalesce("label", F.col("__key").cast("long")).alias("class_id"))

@@ -89,3 +89,18 @@ def test_one_stays(spark):
 def test_real(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert run(spark, rows) == brute(rows)
+
+
+def test_blocks(spark, monkeypatch):
+    """Many near copies of several degrees, in small blocks."""
+    monkeypatch.setattr(M, "FRINGE", 5)
+    monkeypatch.setattr(M, "BLOCK", 9)
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for k in range(120):
+        words = list(base) + ["w1 w2 w3 w4 w5 w6"] * 2
+        for _ in range(rng.choice([1, 1, 2, 3, 4, 5])):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    assert run(spark, rows) == brute(rows)
