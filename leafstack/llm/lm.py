@@ -17,8 +17,8 @@ STEM = 3
 #: Inputs of a window, and the targets at its end that it scores: windows overlap by their difference.
 WINDOW, STRIDE = 32, 16
 WIDTH = 16
-#: One window in so many trains the model, from every training text that is long enough, in as many steps.
-TRAIN_EVERY, STEPS, RATE = 16, 24, 0.05
+#: Every window of the training texts trains the model, in one of so many steps.
+STEPS, RATE = 24, 0.05
 #: Commonest words whose counts every task holds (16 bytes each); other words meet their counts by a join.
 HOT_WORDS = 200_000
 
@@ -137,6 +137,22 @@ def windows_of(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return inputs, targets, text, place
 
 
+def packed(inputs: np.ndarray, targets: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Windows as bytes: how many targets are live (and, as 128, whether the text begins here), then the ids from the first input to the last target."""
+    span = np.maximum(np.concatenate([inputs, targets[:, -1:]], axis=1), 0)
+    return np.concatenate([((targets >= 0).sum(1) | np.where(place == 0, 128, 0))[:, None], span], axis=1).astype(np.uint8)
+
+
+def unpacked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and targets of packed windows."""
+    live, first, span = (rows[:, :1] & 127).astype(np.int64), rows[:, :1] >= 128, rows[:, 1:].astype(np.int64)
+    before = WINDOW - STRIDE
+    at = np.arange(WINDOW)[None, :]
+    inputs = np.where((first & (at < before)) | (at > before + live), -1, span[:, :WINDOW])
+    targets = np.where(np.arange(STRIDE)[None, :] < live, span[:, before + 1 :], -1)
+    return inputs, targets
+
+
 def forward(t: dict[str, np.ndarray], inputs: np.ndarray):
     """Logits of each target, and what is needed to go back."""
     x = np.maximum(inputs, 0)
@@ -224,15 +240,13 @@ def train(sequences: DataFrame, share: np.ndarray) -> dict[str, np.ndarray]:
                 salt = batch.column("salt").slice(at, 200).to_numpy(zero_copy_only=False).view(np.uint64)
                 n = np.array([len(x) for x in rows])
                 inputs, targets, text, place = windows_of(np.concatenate(rows).astype(np.int64), n)
-                dice = mix(salt[text] + place.astype(np.uint64))
-                taken = dice % np.uint64(TRAIN_EVERY) == 0
-                step = (dice[taken] >> np.uint64(20)) % np.uint64(STEPS)
-                both = np.concatenate([inputs[taken], targets[taken]], axis=1).astype("<i2")
+                step = (mix(salt[text] + place.astype(np.uint64)) >> np.uint64(20)) % np.uint64(STEPS)
+                both = packed(inputs, targets, place)
                 for s in np.unique(step).tolist():
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([both[step == s].tobytes()], pa.binary())], names=["step", "windows"])
 
-    packed = sequences.select("salt", "ids").mapInArrow(pick, "step int, windows binary")
-    packed = cut(packed.repartition("step", F.pmod(F.xxhash64("windows"), F.lit(12))).sortWithinPartitions("step"), "lm-windows")
+    windows = sequences.select("salt", "ids").mapInArrow(pick, "step int, windows binary")
+    windows = cut(windows.repartition("step", F.pmod(F.xxhash64("windows"), F.lit(12))).sortWithinPartitions("step"), "lm-windows")
     p = start(share)
     adam = Adam(p, STEPS)
     sizes = {k: int(np.prod(s)) for k, s in TABLES.items()}
@@ -243,15 +257,14 @@ def train(sequences: DataFrame, share: np.ndarray) -> dict[str, np.ndarray]:
             total = np.zeros(sum(sizes.values()) + 2)
             for batch in batches:
                 for x in batch.column("windows"):
-                    every = np.frombuffer(x.as_buffer(), "<i2").reshape(-1, WINDOW + STRIDE).astype(np.int64)
+                    every = np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, WINDOW + 2)
                     for at in range(0, len(every), 512):
-                        part = every[at : at + 512]
-                        g, loss, n = gradient(now.value, part[:, :WINDOW], part[:, WINDOW:])
+                        g, loss, n = gradient(now.value, *unpacked(every[at : at + 512]))
                         total += np.concatenate([*(g[k].ravel() for k in TABLES), [loss, n]])
             if total[-1]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "value"])
 
-        summed = packed.filter(F.col("step") == s).select("windows").mapInArrow(work, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
+        summed = windows.filter(F.col("step") == s).select("windows").mapInArrow(work, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
         now.unpersist()
         if not len(summed):
             continue
@@ -262,7 +275,7 @@ def train(sequences: DataFrame, share: np.ndarray) -> dict[str, np.ndarray]:
             g[k] = total[at : at + size].reshape(TABLES[k]) / total[-1]
             at += size
         adam.step(back(p, g))
-    drop_cut(packed)
+    drop_cut(windows)
     return p
 
 
@@ -273,7 +286,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", traini
     model's log10 probability of the text: of each token's subword id given the ids before it, by attention over
     overlapping windows that score each token once, and of the token given its id, by (c + 1) / (its id's tokens +
     distinct tokens + 1), where an unseen word has the place that is left. Counts cover all training texts, and
-    every training text is open to training.
+    every window of every training text trains the model.
 
     A null text counts as empty: one token, the end. A null key counts as an empty one. Equal rows get equal rows;
     an empty table gives an empty table; without training texts all counts are 0. Other columns may have any names.

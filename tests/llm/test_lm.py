@@ -95,3 +95,20 @@ def test_odd_rows(spark):
     check(spark, rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert L.score_texts(df.filter("false")).count() == 0
+
+
+def test_packed_windows():
+    for size in ([1], [16], [17], [31, 32, 33], [1, 40, 59, 200]):
+        n = np.array(size)
+        ids = np.random.default_rng(4).integers(0, L.IDS, n.sum())
+        inputs, targets, _, place = L.windows_of(ids, n)
+        got = L.unpacked(L.packed(inputs, targets, place))
+        assert (got[0] == inputs).all() and (got[1] == targets).all()
+
+
+def test_every_window_trains(spark):
+    """A text of one window is learned from, whatever its salt."""
+    share = np.full(L.IDS, 1 / L.IDS)
+    for salt in range(3):
+        rows = spark.createDataFrame([(salt, bytes([5, 6, 7, 0]))], "salt long, ids binary")
+        assert np.any(L.train(rows, share)["u"])
