@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafstack.operators.dispatch import RULES
@@ -12,42 +13,25 @@ from leafstack.operators.dispatch import RULES
 MEDIA_NAMESPACE = "http://search.yahoo.com/mrss/"
 
 
-def resolved(href: Column, base: Column) -> Column:
-    """A reference as the page's browser would resolve it, for absolute and root-relative ones."""
-    host = F.regexp_extract(base, "^([a-z]+://[^/]+)", 1)
-    return F.when(href.startswith("/"), F.concat(host, href)).otherwise(href)
-
-
-def without_fragment(href: Column) -> Column:
-    return F.regexp_replace(href, "#[^#]*$", "")
-
-
-def anchors(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """(key, pos, href) of a page's anchors in order: without fragments and empty ones, the first of each target, then only http and https.
-
-    Double-quoted attributes, as in the tables; refs() reads any markup.
-    """
-    found = pages.select(key, url, F.posexplode(F.regexp_extract_all(html, F.lit('<a [^>]*href="([^"]*)"'), F.lit(1))).alias("pos", "raw"))
-    found = found.withColumn("bare", without_fragment(F.col("raw"))).filter("bare <> ''").withColumn("href", resolved(F.col("bare"), F.col(url)))
-    first = found.groupBy(key, "href").agg(F.min("pos").alias("pos"))
-    return first.filter(F.lower("href").startswith("http://") | F.lower("href").startswith("https://")).select(key, F.col("pos").cast("long").alias("pos"), "href")
-
-
 class _Refs(HTMLParser):
     """Alternate links, anchors and images in document order: (section, href, name)."""
 
     def __init__(self, mime: set[str]):
         super().__init__(convert_charrefs=True)
-        self.mime, self.out, self.anchor, self.text = mime, [], None, []
+        self.mime, self.out, self.anchor, self.text, self.base = mime, [], None, [], None
 
     def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
+        a = {k: v or "" for k, v in reversed(attrs)}  # the first of a name counts
         if tag == "link" and a.get("href") and "alternate" in a.get("rel", "").split(" ") and a.get("type", "").lower() in self.mime:
             self.out.append(("link", a["href"], a.get("title", "")))
         elif tag == "a":
             self._close()
             if "href" in a:
                 self.anchor, self.text = a["href"], []
+        elif tag == "area" and "href" in a:
+            self.out.append(("anchor", a["href"], ""))
+        elif tag == "base" and self.base is None:
+            self.base = a.get("href")
         elif tag == "img" and a.get("src") and self.anchor is None:
             self.out.append(("image", a["src"], a.get("title") or a.get("alt", "")))
 
@@ -71,27 +55,69 @@ class _Refs(HTMLParser):
         self._close()
 
 
+def _parsed(html: str, base: str) -> tuple[list[tuple[str, str, str]], str]:
+    """What _Refs finds, white space around references and line breaks in them apart, and the URL that they are relative to."""
+    clean = lambda x: x.strip(" \t\n\r\f").translate({9: None, 10: None, 13: None})
+    parser = _Refs({m for kinds in RULES.values() for m in kinds.get("mime", "").split()})
+    parser.feed(html or "")
+    parser.close()
+    return [(section, clean(href), name) for section, href, name in parser.out], _resolved(clean(parser.base or ""), base or "")
+
+
+def _resolved(href: str, base: str) -> str:
+    """A reference as a browser resolves it; one that is no URL stays as it is."""
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return href
+
+
+def _without_fragment(href: str) -> str:
+    return href.rpartition("#")[0] if "#" in href else href
+
+
+def page_anchors(html: str, base: str) -> list[tuple[int, str]]:
+    """(pos, href) of a page's anchors: without fragments and empty ones, the first of each target, then only http and https; pos counts all anchors."""
+    found, base = _parsed(html, base)
+    first: dict[str, int] = {}
+    for pos, href in enumerate(href for section, href, _ in found if section == "anchor"):
+        if bare := _without_fragment(href):
+            first.setdefault(_resolved(bare, base), pos)
+    return [(pos, href) for href, pos in first.items() if href.lower().startswith(("http://", "https://"))]
+
+
+def anchors(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
+    """(key, pos, href) of the anchors of any markup, as page_anchors() gives them, each target once per key."""
+    kind = pages.schema[key].dataType.simpleString()
+
+    def work(frames):
+        import pandas as pd
+
+        for frame in frames:
+            rows = [(k, *r) for k, u, h in zip(frame.iloc[:, 0], frame.iloc[:, 1], frame.iloc[:, 2], strict=True) for r in page_anchors(h, u)]
+            yield pd.DataFrame(rows, columns=[key, "pos", "href"])
+
+    found = pages.select(key, url, html).mapInPandas(work, f"{key} {kind}, pos long, href string")
+    return found.groupBy(key, "href").agg(F.min("pos").alias("pos")).select(key, "pos", "href")
+
+
 def page_refs(html: str, base: str) -> list[tuple[str, int, str, str]]:
     """(section, pos, href, name): links, then anchors, then images; each target once in its section, anchors and images only with http or https.
 
     An image inside an anchor isn't listed.
     """
-    from urllib.parse import urljoin
-
-    parser = _Refs({m for kinds in RULES.values() for m in kinds.get("mime", "").split()})
-    parser.feed(html or "")
-    parser.close()
+    found, base = _parsed(html, base)
     out, seen = [], set()
     for section in ("link", "anchor", "image"):
         pos = 0
-        for kind, href, name in parser.out:
+        for kind, href, name in found:
             if kind != section:
                 continue
             if section == "anchor":
-                href = href.rpartition("#")[0] if "#" in href else href
+                href = _without_fragment(href)
                 if not href:
                     continue
-            href = urljoin(base or "", href)
+            href = _resolved(href, base)
             if (section, href) in seen:
                 continue
             seen.add((section, href))

@@ -143,6 +143,13 @@ def test_refs():
     assert P.page_refs(page, "http://h/d/") == [("link", 0, "http://h/l", ""), ("anchor", 0, "http://h/a", "A b"), ("anchor", 1, "http://h/l", "l"), ("image", 0, "http://h/i.png", "pic")]
 
 
+def test_anchors_of_any_markup(spark):
+    page = "<!-- <a href='/no'> --><A HREF=/up>u</A><a\nhref='one.html#f'>1</a><a class=x href=../two>2</a><a href=\"//other/x\">o</a><a href='#f'>f</a><a href=one.html>again</a><a href='mailto:x'>m</a><a href='//[bad'>b</a><area href='/map'>"
+    df = spark.createDataFrame([(1, "http://h/d/e", page), (2, "http://h/d/e", "<base href='http://b/c/'><a href=x>x</a>"), (3, None, None)], "page_id long, url string, html string")
+    got = [tuple(r) for r in P.anchors(df, "page_id", "url", "html").orderBy("page_id", "pos").collect()]
+    assert got == [(1, 0, "http://h/up"), (1, 1, "http://h/d/one.html"), (1, 2, "http://h/two"), (1, 3, "http://other/x"), (1, 8, "http://h/map"), (2, 0, "http://b/c/x")]
+
+
 def test_feeds(spark):
     media = 'xmlns:media="http://search.yahoo.com/mrss/"'
     item = '<item><title>t</title><media:content url="u"/></item>'
