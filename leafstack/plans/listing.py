@@ -198,8 +198,8 @@ _SHARE = "100 * (1 - cast(packed as double) / cast(nullif(size, 0) as double))"
 
 @query("list_long", f"with {ENTRIES} select archive, idx, concat(lpad(cast(idx as varchar), 3, ' '), '. ', case when is_dir then 'D' else '-' end, case when is_resource then 'R' else '-' end, case when is_link then 'L' else '-' end, case when encrypted then 'E' else '-' end, '- ', coalesce(lpad(cast(size as varchar), 11, ' '), ' ----------'), ' ', case when coalesce(size, 0) <> 0 and coalesce(packed, 0) <> 0 then case when {_SHARE} <= -100 then printf('%5.0f%%', {_SHARE}) else printf('%5.1f%%', {_SHARE}) end else ' -----' end, '  ', rpad('Defl', 4, ' '), '  ----------------  ', path, case when is_dir then '/' else '' end) line from entries where idx < 1000")
 def list_long(spark, sf_dir):
-    """The long listing of archives of up to a thousand entries, whose indexes are three digits wide."""
-    rows = entries(spark, sf_dir, "archive", "idx", "is_dir", "is_resource", "is_link", "encrypted", "size", "packed", "path").filter("idx < 1000")
+    """The long listing of all entries; indexes are three digits wide at least. The SQL stops at the thousandth entry of an archive."""
+    rows = entries(spark, sf_dir, "archive", "idx", "is_dir", "is_resource", "is_link", "encrypted", "size", "packed", "path")
     c = F.col
     return rows.select("archive", "idx", E.long_line(c("idx"), c("is_dir"), c("is_resource"), c("is_link"), c("encrypted"), c("size"), c("packed"), F.lit("Defl"), N.best_date(F.lit(None).cast("timestamp")), c("path")).alias("line"))
 

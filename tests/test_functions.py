@@ -230,3 +230,14 @@ def test_orientation(spark):
 def test_codes():
     names = ["Deflate64", "Quantum:7", "Quantum:31", "Quantum:32", "LZX:4", "Method 16", "Fast v2.0", "-lh5-", "-lh0-", "Stored", "Stored again", "None", "Store"]
     assert list(C.short_codes(names).values()) == ["Df64", "Qua7", "Qu31", "Quan", "LZX4", "Mt16", "Fs20", "lh5", "None", "Stor", "Sto2", "Non2", "Sto3"]
+
+
+def test_long_listing_of_a_large_archive(spark, tmp_path):
+    """Every entry has a line, and indexes beyond three digits are whole."""
+    from leafstack.plans import listing
+
+    docs = spark.range(1203).selectExpr("id as doc_id", "'t' as text", "'en' as lang", "'s' as source", "id + 1 as n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    lines = {r.idx: r.line for r in listing.list_long(spark, str(tmp_path)).collect()}
+    assert sorted(lines) == list(range(1203))
+    assert all(line.startswith(f"{i:3d}. ") for i, line in lines.items())
