@@ -32,6 +32,13 @@ def total_size_strict(spark, sf_dir):
     return entries(spark, sf_dir, "archive", "idx", "size").filter("idx < 20").groupBy("archive").agg(E.total().alias("total"))
 
 
+@query("total_size_all", f"with {ENTRIES}, v as (select archive, entry_id % 17 volume, size from entries) select archive, volume, cast(case when count(*) = count(size) then coalesce(sum(size), 0) else -1 end as bigint) total from v group by rollup (archive, volume)")
+def total_size_all(spark, sf_dir):
+    """Totals over all entries of volumes, archives and everything; only some volumes have an unknown size."""
+    rows = entries(spark, sf_dir, "archive", "entry_id", "size").selectExpr("archive", "entry_id % 17 as volume", "size")
+    return rows.rollup("archive", "volume").agg(E.total().alias("total"))
+
+
 @query("total_size_known", f"with {ENTRIES} select archive, cast(coalesce(sum(size), 0) as bigint) total from entries group by 1")
 def total_size_known(spark, sf_dir):
     return entries(spark, sf_dir, "archive", "size").groupBy("archive").agg(E.total(known_only=True).alias("total"))

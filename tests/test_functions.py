@@ -241,3 +241,16 @@ def test_long_listing_of_a_large_archive(spark, tmp_path):
     lines = {r.idx: r.line for r in listing.list_long(spark, str(tmp_path)).collect()}
     assert sorted(lines) == list(range(1203))
     assert all(line.startswith(f"{i:3d}. ") for i, line in lines.items())
+
+
+def test_strict_totals_beyond_the_twentieth_entry(spark, tmp_path):
+    """An unknown size makes its archive's total -1 wherever it stands, and a total is of all entries."""
+    from leafstack.plans import archives
+
+    docs = spark.createDataFrame([(i, "t", "en", "a" if i < 40 else "b", 2) for i in range(18, 70) if i != 51], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.archive, r.volume): r.total for r in archives.total_size_all(spark, str(tmp_path)).collect()}
+    assert got[("a", None)] == -1 and got[("b", None)] == -1 and got[("a", 0)] == -1 and got[("a", 1)] == 4
+    docs.filter("doc_id not in (34, 68)").write.parquet(f"{tmp_path}/whole/documents.parquet")
+    got = {(r.archive, r.volume): r.total for r in archives.total_size_all(spark, f"{tmp_path}/whole").collect()}
+    assert got[("a", None)] == 42 and got[("b", None)] == 56 and got[(None, None)] == 98
