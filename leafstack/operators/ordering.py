@@ -39,6 +39,27 @@ def recent(df: DataFrame, by: list[str], when: str, unique: str, n: int) -> Data
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col(when).desc(), F.col(unique).desc())))  # n rows
 
 
+def placed(df: DataFrame, newest: str, unique: str, as_: str = "place", parts: int = 256) -> DataFrame:
+    """Place (from 1) of each row among all, newest first, then by the unique column, without a window over all rows.
+
+    Some rows, chosen by a hash of the unique column, bound ranges; a row's place is its rank in its range after the
+    rows of the ranges before. Only the bounds and a count for each range come to the driver.
+    """
+    t, u = F.col(newest), F.col(unique)
+    kinds = df.schema[newest].dataType, df.schema[unique].dataType
+    chosen = df.filter(t.isNotNull() & u.isNotNull()).select(newest, unique).orderBy(F.xxhash64(unique), unique).limit(parts - 1)
+    bounds = [F.struct(F.lit(r.t).cast(kinds[0]).alias("t"), F.lit(r.u).cast(kinds[1]).alias("u")) for r in chosen.select(t.cast("string").alias("t"), u.cast("string").alias("u")).collect()]
+    before = F.size(F.filter(F.array(*bounds), lambda x: (x.t > t) | ((x.t == t) & (x.u < u)))) if bounds else F.lit(0)
+    rows = df.withColumn("range", F.when(t.isNull(), parts).otherwise(before))
+    starts, n = [], 0
+    for r in rows.groupBy("range").agg(F.count("*").alias("n")).orderBy("range").collect():
+        starts.append((r["range"], n))
+        n += r.n
+    inside = Window.partitionBy("range").orderBy(t.desc(), u)
+    starts = F.broadcast(df.sparkSession.createDataFrame(starts, "range int, start long"))
+    return rows.withColumn("rank", F.row_number().over(inside)).join(starts, "range").withColumn(as_, F.col("start") + F.col("rank")).drop("range", "rank", "start")
+
+
 def first_of_each(df: DataFrame, by: list[str], position: str) -> DataFrame:
     """The first row of each group by position, as an order-preserving distinct."""
     names = [c for c in df.columns if c not in by]

@@ -78,6 +78,16 @@ def activity_priority(spark, sf_dir):
     return last.select("user_id", F.col("event_id").alias("last_id"), F.expr("cast(row_number() over (order by ts desc, user_id) as bigint)").alias("place"))
 
 
+@query("activity_places", "select user_id, m.event_id last_id, cast(row_number() over (order by m.ts desc, user_id) as bigint) place from (select user_id, max(struct_pack(ts := ts, event_id := event_id)) m from events where event_type = (select min(event_type) from events) group by 1)")
+def activity_places(spark, sf_dir):
+    """Every activity's place, the one prioritised last first."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
+    kind = events.agg(F.min("event_type").alias("kind"))
+    rows = events.join(F.broadcast(kind), F.col("event_type") == F.col("kind"))
+    last = rows.groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("m")).select("user_id", "m.ts", "m.event_id")
+    return O.placed(last, "ts", "user_id").select("user_id", F.col("event_id").alias("last_id"), "place")
+
+
 _DIGITS = r"list_transform(regexp_extract_all({0}, '(\d+)', 1), lambda r: regexp_replace(r, '^0+(\d)', '\1'))"
 
 

@@ -254,3 +254,28 @@ def test_strict_totals_beyond_the_twentieth_entry(spark, tmp_path):
     docs.filter("doc_id not in (34, 68)").write.parquet(f"{tmp_path}/whole/documents.parquet")
     got = {(r.archive, r.volume): r.total for r in archives.total_size_all(spark, f"{tmp_path}/whole").collect()}
     assert got[("a", None)] == 42 and got[("b", None)] == 56 and got[(None, None)] == 98
+
+
+@pytest.mark.parametrize("parts", [2, 16, 256])
+def test_places_of_all(spark, parts):
+    """Every row has its place, ties and unknown times among them, however many ranges there are."""
+    from datetime import datetime, timedelta
+
+    from leafstack.operators import ordering as O
+
+    start = datetime(2024, 1, 1)
+    rows = [(i, None if i % 50 == 7 else start + timedelta(seconds=i * 7919 % 101 / 4)) for i in range(300)]
+    wanted = sorted(rows, key=lambda r: (r[1] is None, -(r[1] - start).total_seconds() if r[1] else 0, r[0]))
+    for kind in ("timestamp_ntz", "timestamp"):
+        df = spark.createDataFrame(rows, f"user_id long, ts {kind}")
+        got = {r.user_id: r.place for r in O.placed(df, "ts", "user_id", parts=parts).collect()}
+        assert got == {r[0]: i + 1 for i, r in enumerate(wanted)}
+    assert O.placed(df.filter("false"), "ts", "user_id", parts=parts).count() == 0
+
+
+def test_activities_beyond_the_fiftieth_have_places(spark, tmp_path):
+    from leafstack.plans import listing
+
+    events = spark.range(120).selectExpr("id as event_id", "timestamp_seconds(id) as ts", "id as user_id", "'a' as event_type")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.user_id: r.place for r in listing.activity_places(spark, str(tmp_path)).collect()} == {i: 120 - i for i in range(120)}
