@@ -279,3 +279,9 @@ def test_activities_beyond_the_fiftieth_have_places(spark, tmp_path):
     events = spark.range(120).selectExpr("id as event_id", "timestamp_seconds(id) as ts", "id as user_id", "'a' as event_type")
     events.write.parquet(f"{tmp_path}/events.parquet")
     assert {r.user_id: r.place for r in listing.activity_places(spark, str(tmp_path)).collect()} == {i: 120 - i for i in range(120)}
+
+
+def test_every_signature_is_met(spark, sf_dir):
+    from leafstack.plans import archives
+
+    assert {r.format for r in archives.detect_format_all(spark, sf_dir).collect()} == {n for n, _, _ in D.SIGNATURES} | {None}
