@@ -1,4 +1,4 @@
-"""Scores of texts by a unigram base and by a causal self-attention model over subword ids, trained in numpy."""
+"""Scores of texts by a unigram base and by a causal self-attention model over ids of words, trained in numpy."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leafstack.llm.common import chunks, cut, drop_cut, lower_ascii, mix, text_buffers, word_hashes, word_spans
 
-#: Subword ids: 0 is the end (and what stands before a text), then the commonest words, then hashes of words' first bytes.
+#: Ids, one for each word and not pieces of it: 0 is the end (and what stands before a text), then the commonest words, then hashes of words' first bytes.
 IDS, WHOLE = 256, 127
 STEM = 3
 #: Inputs of a window, and the targets at its end that it scores: windows overlap by their difference.
@@ -283,7 +283,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", traini
     """For every row: key, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Tokens are words (A-Z lower-cased) and one end. base_score sums log10((c + 1) / (N + V + 1)). score is the
-    model's log10 probability of the text: of each token's subword id given the ids before it, by attention over
+    model's log10 probability of the text: of each token's id given the ids before it, by attention over
     overlapping windows that score each token once, and of the token given its id, by (c + 1) / (its id's tokens +
     distinct tokens + 1), where an unseen word has the place that is left. Counts cover all training texts, and
     every window of every training text trains the model.
