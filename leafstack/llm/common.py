@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Largest estimated size of a side that is broadcast; beyond it every caller has a shuffled way.
 BROADCAST_BYTES = 32 << 20
+#: Keys of many rows that meet() broadcasts, at most: a few megabytes together.
+HOT_KEYS = 20_000
 #: Text bytes that one vectorised step works on; a longer text makes a step of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 256 << 10
+#: Bytes whose words are hashed at once, unless one word is longer: the arrays of a step stay in the cache.
+HASH_BYTES = 128 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +25,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; our own only where the session names none."""
+    """The folder all executors share. Where the session names none: beside its warehouse, or a temporary folder if all runs on this machine."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (given or "/tmp/checkpoints").rstrip("/")
+    if not given and spark.sparkContext.master.startswith("local["):
+        given = f"{tempfile.gettempdir()}/checkpoints"
+    return (given or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints").rstrip("/")
+
+
+def whole_key(df: DataFrame, key: str) -> Column:
+    """The column of keys as longs; TypeError unless they are whole numbers."""
+    kind = df.schema[key].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} has to be of whole numbers, not {kind}")
+    return F.col(f"`{key}`").cast("long")
+
+
+def small(df: DataFrame, row_bytes: int) -> bool:
+    """Whether df (cheap to count) may be broadcast."""
+    return df.count() * row_bytes <= BROADCAST_BYTES
+
+
+def meet(rows: DataFrame, side: DataFrame, key: str, row_bytes: int) -> DataFrame:
+    """rows inner-joined by key with side, which has one row of about row_bytes for each key: by broadcast if side is small.
+
+    Otherwise keys that more than 1/HOT_KEYS of the rows share, which are at most HOT_KEYS, meet their rows by
+    broadcast, so that none of these is dealt by key; the others are joined as usual. Both tables are read several
+    times then, so they should be tables that cut() wrote.
+    """
+    if small(side, row_bytes):
+        return rows.join(F.broadcast(side), key)
+    limit = max(1, rows.count() // HOT_KEYS)
+    often = F.broadcast(cut(rows.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > limit).select(key), "hot-keys"))
+    hot, rest = side.join(often, key, "left_semi"), side.join(often, key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(often, key, "left_anti").join(rest, key))
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -81,7 +117,11 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(2 * HASH_BYTES)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, BASE, np.uint64), np.full(n, INVERSE, np.uint64)
     up[0] = down[0] = 1
@@ -114,14 +154,20 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word; equal words have equal hashes wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    size = 1 << max(16, (len(data) - 1).bit_length())
-    up, down = _powers(size)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_byte_codes()[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """A 64-bit hash of each word (in order, none within another); equal words have equal hashes wherever they stand."""
+    out = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        at = int(starts[first])
+        end = max(first + 1, int(np.searchsorted(ends, at + HASH_BYTES, side="right")))
+        part = data[at : int(ends[end - 1])]
+        up, down = _kept_powers() if len(part) <= 2 * HASH_BYTES else _powers(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_byte_codes()[part] * up[: len(part)], out=sums[1:])
+        a, b = starts[first:end] - at, ends[first:end] - at
+        out[first:end] = mix((sums[b] - sums[a]) * down[a])
+        first = end
+    return out
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafstack.llm.common import BROADCAST_BYTES, chunks, cut, drop_cut, mix, run_hashes, text_buffers, word_hashes, word_spans
+from leafstack.llm.common import chunks, cut, drop_cut, meet, mix, run_hashes, small, text_buffers, whole_key, word_hashes, word_spans
 
 SHINGLE = 5
 SIMILAR = 0.8
+#: Pairs with one text that meet it in one task.
+FAN = 256
 #: Bands and components of each. A pair at the threshold shares no band with probability (1 - 0.8**ROWS)**BANDS = 0.0002, one at 0.85 with 2e-6.
 BANDS, ROWS = 28, 6
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -95,7 +97,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _sketch(docs: DataFrame) -> DataFrame:
-    """(doc, content, bands) of texts with words; content is a digest of the words."""
+    """(doc, version, content, bands) of texts with words; content is a digest of the words."""
 
     def work(batches):
         for batch in batches:
@@ -112,21 +114,30 @@ def _sketch(docs: DataFrame) -> DataFrame:
                 keys = bands_of(signatures(place[owner], hashes, counts, len(kept)))
                 content = [hashlib.blake2b(b" ".join(data[offsets[a + i] : offsets[a + i + 1]].tobytes().split()), digest_size=16).digest() for i in kept.tolist()]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([doc.slice(a, b - a).take(pa.array(kept)), pa.array(content, pa.binary()), lists], names=["doc", "content", "bands"])
+                which = pa.array(kept + a)
+                yield pa.RecordBatch.from_arrays([doc.take(which), batch.column("version").take(which), pa.array(content, pa.binary()), lists], names=["doc", "version", "content", "bands"])
 
-    return docs.mapInArrow(work, "doc long, content binary, bands array<long>")
+    return docs.mapInArrow(work, "doc long, version long, content binary, bands array<long>")
 
 
 def _small(df: DataFrame, bytes_per_row: int) -> DataFrame:
     """df, for broadcast if its rows are few enough."""
-    return F.broadcast(df) if df.count() * bytes_per_row <= BROADCAST_BYTES else df
+    return F.broadcast(df) if small(df, bytes_per_row) else df
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts' bags overlap by at least `least`, checked exactly."""
-    ids = cut(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "minhash-ids")
-    texts = docs.join(_small(ids, 16), "doc", "left_semi").dropDuplicates(["doc"])
-    both = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
+def _texts_of(ids: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(doc, text) of the nodes in ids (cut): of each the one version that firsts names, once."""
+    wanted = cut(firsts.join(_small(ids, 16), "doc", "left_semi"), "minhash-wanted")
+    return docs.join(_small(wanted, 24), ["doc", "version"], "left_semi").select("doc", "text").dropDuplicates(["doc"])
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b; cut) whose texts' bags overlap by at least `least`, checked exactly. A node of many pairs has copies of its text, each for FAN of them."""
+    texts = cut(_texts_of(cut(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "minhash-ids"), docs, firsts), "minhash-texts")
+    fans = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("fan")), "minhash-fans")
+    dealt = meet(pairs, fans, "a", 40).select("a", "b", F.pmod(F.xxhash64("b"), F.col("fan")).alias("part"))
+    spread = texts.join(fans.select(F.col("a").alias("doc"), "fan"), "doc").select(F.col("doc").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("fan") - 1)).alias("part"), F.col("text").alias("ta"))
+    both = dealt.join(spread, ["a", "part"]).join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
 
     def work(batches):
         for batch in batches:
@@ -151,7 +162,7 @@ def _bag(raw) -> tuple[np.ndarray, np.ndarray]:
 FRINGE, BLOCK = 256, 1024
 
 
-def _across(left: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+def _across(left: DataFrame, docs: DataFrame, firsts: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between classes within buckets: left has (bucket, doc, label, largest).
 
     Nodes outside the largest class are dealt to blocks of about FRINGE, all nodes to blocks of about BLOCK, and each
@@ -160,13 +171,12 @@ def _across(left: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     fewer links than it has nodes, as only those are put out that join classes not yet joined in it.
     """
     size = left.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.count_if(F.col("label") != F.col("largest")) / FRINGE).alias("fringes"))
-    rows = left.join(_small(cut(size, "minhash-sizes"), 48), "bucket")
+    rows = meet(left, cut(size, "minhash-sizes"), "bucket", 48)
     dealt = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     fringe = rows.filter("label <> largest").select("bucket", dealt("fringes").alias("i"), every("blocks").alias("j"), F.lit(0).alias("side"), "doc", "label")
     block = rows.select("bucket", every("fringes").alias("i"), dealt("blocks").alias("j"), F.lit(1).alias("side"), "doc", "label")
-    ids = cut(left.select("doc").distinct(), "minhash-ids")
-    texts = docs.join(_small(ids, 16), "doc", "left_semi").dropDuplicates(["doc"])
+    texts = _texts_of(cut(left.select("doc").distinct(), "minhash-ids"), docs, firsts)
     dealt_out = fringe.union(block).join(texts, "doc").select("bucket", "i", "j", "side", "doc", "label", "text")
     dealt_out = dealt_out.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
 
@@ -238,16 +248,17 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.union(edges.select("b", "a")).distinct(), "components-edges")
     labels = cut(both.groupBy(F.col("a").alias("doc")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "components-labels")
     while True:
-        side = _small(labels, 48)
-        spread = both.join(side.select(F.col("doc").alias("b"), "label"), "b").groupBy(F.col("a").alias("doc")).agg(F.min("label").alias("near"))
-        new = spread.join(side, "doc").select("doc", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        jump = side.select(F.col("doc").alias("label"), F.col("label").alias("further"))
-        new = cut(new.join(jump, "label").select("doc", F.least("label", "further").alias("label"), "old"), "components-labels")
+        spread = meet(both, labels.select(F.col("doc").alias("b"), "label"), "b", 48).groupBy(F.col("a").alias("doc")).agg(F.min("label").alias("near"))
+        new = cut(spread.join(_small(labels, 48), "doc").select("doc", F.least("label", "near").alias("label"), F.col("label").alias("old")), "components-near")
+        jump = labels.select(F.col("doc").alias("label"), F.col("label").alias("further"))
+        new, near = cut(meet(new, jump, "label", 48).select("doc", F.least("label", "further").alias("label"), "old"), "components-labels"), new
+        drop_cut(near)
         done = new.filter("label <> old").isEmpty()
         drop_cut(labels)
         labels = new.select("doc", "label")
         labels._cut_path = new._cut_path
         if done:
+            drop_cut(both)
             return labels
 
 
@@ -261,36 +272,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     written out, and no link between classes is left out that a band shows. Every comparison is exact.
 
     Null and wordless texts are alone in their class, as are rows with a null key (whose class is null). Repeated
-    rows get equal rows. Rows that share a key but not their text get the class of their own text, or of the first
-    row's where comparisons need the text of a key. An empty table gives an empty table.
+    rows get equal rows. Of different texts with one key, the one with the least hash stands for the key, and all
+    its rows get that one's class. Keys are whole numbers; others raise TypeError. An empty table gives an empty
+    table, and other columns may have any names. A text of any length is one row, and so has to fit a task.
     """
-    given = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("binary").alias("text"))
-    known = given.filter("doc is not null and text is not null")
-    base = cut(_sketch(known), "minhash-bands")
-    nodes = base.groupBy("content").agg(F.min("doc").alias("node"))
-    named = cut(base.select("doc", "content").join(nodes, "content").select("doc", "node", "content"), "minhash-nodes")
-    firsts = named.filter("doc = node").select("doc", "content").distinct()
-    rows = base.join(firsts, ["doc", "content"]).select("doc", F.explode("bands").alias("bucket")).distinct()
-    buckets = rows.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.max("doc").alias("other")).filter("pivot < other").select("bucket", "pivot")
-    members = cut(rows.join(buckets, "bucket"), "minhash-buckets")
+    given = docs.select(whole_key(docs, key).alias("doc"), F.col(f"`{text}`").cast("binary").alias("text"))
+    known = given.filter("doc is not null and text is not null").withColumn("version", F.xxhash64("text"))
+    base = sketched = cut(_sketch(known), "minhash-bands")
+    several = base.groupBy("doc").agg(F.min("version").alias("v"), F.max("version").alias("w")).filter("v < w").select("doc", F.col("v").alias("least"))
+    several = cut(several, "minhash-several")
+    if not several.isEmpty():
+        base = base.join(_small(several, 24), "doc", "left").filter("least is null or version = least").drop("least")
+    nodes = cut(base.groupBy("content").agg(F.min("doc").alias("node")), "minhash-contents")
+    named = cut(meet(base.select("doc", "version", "content"), nodes, "content", 64).select("doc", "version", "node"), "minhash-nodes")
+    firsts = cut(named.filter("doc = node").select("doc", "version").distinct(), "minhash-firsts")
+    rows = cut(base.join(_small(firsts, 24), ["doc", "version"], "left_semi").select("doc", F.explode("bands").alias("bucket")).distinct(), "minhash-rows")
+    buckets = cut(rows.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.max("doc").alias("other")).filter("pivot < other").select("bucket", "pivot"), "minhash-pivots")
+    members = cut(meet(rows, buckets, "bucket", 48), "minhash-buckets")
     pairs = cut(members.filter("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), "minhash-pairs")
-    links = cut(_similar(pairs, known, least), "minhash-links")
-    labels = components(links)
-    side = _small(labels, 48)
-    placed = cut(members.join(side, "doc", "left").select("bucket", "pivot", "doc", F.coalesce("label", "doc").alias("label")), "minhash-placed")
-    open_ = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("x < y and n > 2").select("bucket")
-    left = placed.join(open_, "bucket", "left_semi")
-    sizes = left.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most")).select("bucket", F.col("most.label").alias("largest"))
-    left = cut(left.join(sizes, "bucket").filter("doc <> pivot"), "minhash-left")
-    found = cut(_across(left, known, least), "minhash-across")
-    if not found.isEmpty():
-        labels = components(links.union(found))
+    links = cut(_similar(pairs, known, firsts, least), "minhash-links")
+    first = components(links)
+    placed = cut(members.join(_small(first, 48), "doc", "left").select("bucket", "pivot", "doc", F.coalesce("label", "doc").alias("label")), "minhash-placed")
+    classes = placed.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
+    open_ = cut(classes.filter("classes > 1 and n > 2").select("bucket", F.col("most.label").alias("largest")), "minhash-open")
+    left = cut(meet(placed, open_, "bucket", 48).filter("doc <> pivot"), "minhash-left")
+    found = cut(_across(left, known, firsts, least), "minhash-across")
+    labels = first if found.isEmpty() else components(links.union(found))
     final = named.join(_small(labels, 48).select(F.col("doc").alias("node"), "label"), "node", "left").groupBy("doc").agg(F.min(F.coalesce("label", "node")).alias("label"))
     final = cut(final.filter("label <> doc"), "minhash-classes")
-    for x in (base, members, pairs, links, placed, left, found):
+    for x in (sketched, several, nodes, named, firsts, rows, buckets, members, pairs, links, first, placed, open_, left, found, labels):
         drop_cut(x)
-    keys = docs.select(F.col(f"`{key}`").alias("__key"))
-    return keys.join(_small(final, 48).select(F.col("doc").alias("__doc"), "label"), F.col("__key") == F.col("__doc"), "left").select(F.col("__key").alias(key), F.coalesce("label", F.col("__key").cast("long")).alias("class_id"))
+    keys = docs.select(whole_key(docs, key).alias("__key"), F.col(f"`{key}`").alias("__given"))
+    return keys.join(_small(final, 48).select(F.col("doc").alias("__doc"), "label"), F.col("__key") == F.col("__doc"), "left").select(F.col("__given").alias(key), F.coalesce("label", "__key").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafstack.llm.common import cut, drop_cut
+from leafstack.llm.common import cut, drop_cut, meet
 
 #: Group boundaries that one look at the groups brings to the driver; finer looks follow where they are needed.
 POINTS = 8192
@@ -98,9 +98,8 @@ def minimax_cuts(total: int, shards: int, look) -> list[int]:
     for x, earliest in zip(even, first, strict=True):
         left, right = seen.below(x)[0], total - back.below(total - x)[0]
         best = max(left if x - left <= right - x else right, earliest)
-        if best > at + least:
-            learn([(at + least, at + least)], 1)
-            best = seen.below(at + least)[0]
+        if best > at + least:  # the last boundary known that the capacity allows; `earliest` is one
+            best = max(seen.below(at + least)[0], earliest)
         at = max(at, best)
         cuts.append(at)
     return sorted({c for c in cuts if 0 < c < total})
@@ -140,7 +139,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text
     """Put every row of docs into one of the shards 0 to shards-1, so that the largest holds as few bytes as possible.
 
     Equal texts are one group and stay together; groups are ordered by their smallest key, and each shard takes a
-    contiguous run of them. Returns key, size (UTF-8 bytes of the text plus 8), text_crc32, law 'bytes', shard,
+    contiguous run of them. The least feasible capacity is found by binary search with greedy checks; of the cuts
+    that it allows, those nearest to even shares are taken, so that the last shard isn't left with the rest. Returns key, size (UTF-8 bytes of the text plus 8), text_crc32, law 'bytes', shard,
     slot (from 0 without a gap within its shard, by group and key) and grown_shard (null: only a law by key has
     it). A null text has no bytes and is equal to an empty one. Null keys come first. Repeated rows are rows of
     their own, with slots of their own. An empty table gives an empty table. A group larger than an even share is
@@ -158,6 +158,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text
         before.append((pid, total))
         total += most
     laid = ordered.join(F.broadcast(spark.createDataFrame(before, "pid int, before bigint")), "pid").select("same", "first", (F.col("before") + F.col("run") - F.col("bytes")).alias("start"), (F.col("before") + F.col("run")).alias("end"))
+    laid = cut(laid, "shard-laid")  # in order, so that a look reads only the parts of it that it asks for
 
     def look(ranges, step):
         where = F.lit(False)
@@ -171,7 +172,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text
     shard = F.lit(0)
     for c in cuts:
         shard = shard + F.when(F.col("start") >= c, 1).otherwise(0)
-    placed = rows.join(laid.select("same", "first", shard.alias("shard")), "same").select("shard", "first", "same", "key", "size", "crc")
+    placed = meet(rows, laid.select("same", "first", shard.alias("shard")), "same", 96).select("shard", "first", "same", "key", "size", "crc")
     placed = placed.repartitionByRange("shard", "first", "same", "key", "crc", F.rand(7)).sortWithinPartitions("shard", "first", "same", "key")
     placed = placed.select("key", "size", "crc", "shard")
     placed = cut(placed.mapInArrow(_running(None, "shard"), _ddl(placed, "pid int, run bigint")), "shard-slots")
@@ -180,8 +181,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text
     for r in sorted(counts, key=lambda r: (r.pid, r.shard)):
         offsets.append((r.pid, r.shard, filled[r.shard]))
         filled[r.shard] += r.n
-    drop_cut(ordered)
-    drop_cut(rows)
+    for x in (ordered, laid, rows):
+        drop_cut(x)
     offsets = F.broadcast(spark.createDataFrame(offsets, "pid int, shard int, before bigint"))
     return placed.join(offsets, ["pid", "shard"]).select(
         F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("run") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
