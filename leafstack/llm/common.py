@@ -40,6 +40,14 @@ def whole_key(df: DataFrame, key: str) -> Column:
     return F.col(f"`{key}`").cast("long")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, or what it becomes with underscores at its end until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, row_bytes: int) -> bool:
     """Whether df (cheap to count) may be broadcast."""
     return df.count() * row_bytes <= BROADCAST_BYTES

@@ -104,11 +104,29 @@ def fit(shape: np.ndarray, owner: np.ndarray, word: np.ndarray, target: np.ndarr
     return Head(float(p[0] - centre @ dense), dense, p[1 + width :])
 
 
+def _packed(word: np.ndarray) -> bytes:
+    """Feature numbers, each once, as 16-bit integers or as a bit for each feature, after a byte that says which."""
+    if 2 * len(word) <= (1 << WORD_BITS) // 8:
+        return b"n" + word.astype("<u2").tobytes()
+    bits = np.zeros(1 << WORD_BITS, np.uint8)
+    bits[word] = 1
+    return b"b" + np.packbits(bits).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u2", offset=1).astype(np.int64) if raw[:1] == b"n" else np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, offset=1)))
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", targets: tuple[str, ...] = ("quality", "toxic"), rows: int = SAMPLE_ROWS) -> list[Head]:
-    """One head for each target, fitted on at most `rows` labelled texts. Rows with a null label or key don't count."""
-    chosen = labels.filter(" and ".join(f"`{c}` is not null" for c in (key, *targets))).select(F.col(f"`{key}`").alias("__key"), *[F.col(f"`{t}`").cast("double").alias(t) for t in targets]).dropDuplicates(["__key"])
-    chosen = chosen.orderBy(F.xxhash64("__key"), "__key").limit(rows)
-    given = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")).join(F.broadcast(chosen), "__key").select("__text", *targets)
+    """One head for each target, fitted on at most `rows` labelled texts. Rows with a null label or key don't count; of several labels or texts of a key the least does.
+
+    A text comes to the driver as its shape and its word features: as their numbers, or as a bit for each feature
+    if that is shorter, so under 9 KB a text.
+    """
+    chosen = labels.filter(" and ".join(f"`{c}` is not null" for c in (key, *targets))).groupBy(F.col(f"`{key}`").alias("key")).agg(F.min(F.struct(*[F.col(f"`{t}`").cast("double").alias(f"t{i}") for i, t in enumerate(targets)])).alias("t")).select("key", "t.*")
+    chosen = chosen.orderBy(F.xxhash64("key"), "key").limit(rows)
+    names = [f"t{i}" for i in range(len(targets))]
+    given = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "key").groupBy("key").agg(F.min("text").alias("text"), *[F.min(t).alias(t) for t in names]).select("text", *names)
 
     def work(batches):
         for batch in batches:
@@ -118,22 +136,23 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 shape, owner, word = features(data[part[0] : part[-1]], part - part[0])
                 at = np.searchsorted(owner, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([x.tobytes() for x in shape], pa.binary()), pa.array([word[at[i] : at[i + 1]].astype("<u4").tobytes() for i in range(b - a)], pa.binary()), *[c.slice(a, b - a) for c in batch.columns[1:]],
-                ], names=["shape", "words", *targets])
+                    pa.array([x.tobytes() for x in shape], pa.binary()), pa.array([_packed(word[at[i] : at[i + 1]]) for i in range(b - a)], pa.binary()), *[c.slice(a, b - a) for c in batch.columns[1:]],
+                ], names=["shape", "words", *names])
 
-    found = given.mapInArrow(work, "shape binary, words binary, " + ", ".join(f"{t} double" for t in targets)).collect()  # at most `rows` rows of hashed words
+    found = given.mapInArrow(work, "shape binary, words binary, " + ", ".join(f"{t} double" for t in names)).collect()  # at most `rows` rows of hashed words
     found.sort(key=lambda r: (r["shape"], r["words"]))
     shape = np.array([np.frombuffer(r["shape"], np.float32) for r in found]).reshape(len(found), len(SHAPE))
-    words = [np.frombuffer(r["words"], "<u4").astype(np.int64) for r in found]
+    words = [_unpacked(r["words"]) for r in found]
     owner, word = np.repeat(np.arange(len(found)), [len(w) for w in words]), np.concatenate([*words, np.zeros(0, np.int64)])
-    return [fit(shape, owner, word, np.array([r[t] for r in found])) for t in targets]
+    return [fit(shape, owner, word, np.array([r[t] for r in found])) for t in names]
 
 
-def classify(docs: DataFrame, heads: list[Head], names: list[str], text: str = "text") -> DataFrame:
-    """docs with a probability in each column of names."""
+def classify(docs: DataFrame, heads: list[Head], names: list[str], text: str = "text", keep: bool = True) -> DataFrame:
+    """docs (without its texts unless keep) with a probability in each column of names."""
     model = docs.sparkSession.sparkContext.broadcast(heads)  # about half a megabyte a head
     at = docs.columns.index(text)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"{c} double" for c in names])
+    left = [f for f in docs.schema.fields if keep or f.name != text]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in left] + [f"{c} double" for c in names])
 
     def work(batches):
         for batch in batches:
@@ -144,6 +163,8 @@ def classify(docs: DataFrame, heads: list[Head], names: list[str], text: str = "
                 found = features(data[part[0] : part[-1]], part - part[0])
                 for o, head in zip(out, model.value, strict=True):
                     o[a:b] = 1 / (1 + np.exp(-np.clip(head.logit(*found), -50, 50)))
+            if not keep:
+                batch = batch.remove_column(at)
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, out)], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(work, schema)
@@ -173,38 +194,49 @@ def site_posteriors(scored: DataFrame, host: str, path: str, evidence: str) -> t
 
     top = spread(hosts, "hn", "hs", F.lit(mean))
     hosts = hosts.withColumn("host_posterior", (F.col("hs") + top * mean) / (F.col("hn") + top))
-    both = paths.alias("p").join(hosts.select(F.col("host").alias("h"), "host_posterior"), F.col("host").eqNullSafe(F.col("h"))).drop("h")
+    both = paths.join(hosts.select(F.col("host").alias("h"), "hn", "hs", "host_posterior"), F.col("host").eqNullSafe(F.col("h"))).drop("h")
     low = spread(both, "n", "s", F.col("host_posterior"))
-    return cut(both.withColumn("strength", F.lit(low)), "quality-posteriors"), mean
+    return cut(both.withColumn("top", F.lit(top)).withColumn("low", F.lit(low)), "quality-posteriors"), mean
+
+
+#: Columns that judge() adds.
+VERDICT = ("p_text", "p_toxic", "host_posterior", "path_posterior", "score", "accepted")
 
 
-def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", key: str = "doc_id", text: str = "text", accept: float = 0.5, toxic: float = 0.5) -> DataFrame:
-    """docs with p_text, p_toxic, host_posterior, path_posterior, score and accepted.
+def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", key: str = "doc_id", text: str = "text", accept: float = 0.5, toxic: float = 0.5, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """docs (or the columns of it that are given) with p_text, p_toxic, host_posterior, path_posterior, score and accepted.
 
-    p_text is the classifier's probability that the text is good. A document's path posterior leaves out its own
-    evidence. score has the odds of p_text times the odds of the path posterior over the global odds. A document
-    is accepted if score is at least accept and p_toxic is under toxic. A null text counts as empty, a null host or
-    path as one of its own. Equal rows get equal results. Without labels, or with labels of one kind, the classifier
-    has their share only. Hosts and paths are joined by broadcast as long as their table is small, else salted.
-    Columns of docs that have one of the new names are replaced.
+    Where pages have addresses, host and path are parts of them; here a source is a host and a language a path.
+    p_text is the classifier's probability that the text is good. host_posterior is that of the whole host. A
+    document's path_posterior leaves out its own evidence, from its path and from the host that its path shrinks to,
+    so a document alone on its host has the global mean. score has the odds of p_text times the odds of the path
+    posterior over the global odds. A document is accepted if score is at least accept and p_toxic is under toxic. A
+    null text counts as empty, a null host or path as one of its own. Equal rows get equal results. Without labels,
+    or with labels of one kind, the classifier has their share only. Hosts and paths are joined by broadcast as long
+    as their table is small, else salted. Columns of docs that have one of the new names are replaced; others may
+    have any names. An empty table gives an empty table.
     """
-    docs = docs.drop("p_text", "p_toxic", "host_posterior", "path_posterior", "score", "accepted")
+    columns = [c for c in (docs.columns if columns is None else columns) if c not in VERDICT]
     heads = train(docs, labels, key, text)
-    only = docs.select(host, path, text) if len({host, path, text}) == 3 else docs
-    sites, mean = site_posteriors(classify(only, heads[:1], ["p_text"], text), host, path, "p_text")
-    scored = classify(docs, heads, ["p_text", "p_toxic"], text)
-    size = sites.agg(F.sum(F.coalesce(F.length("host"), F.lit(0)) + F.coalesce(F.length("path"), F.lit(0)) + 80)).first()[0] or 0
-    sites = sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("n").alias("__n"), F.col("s").alias("__s"), "host_posterior", F.col("strength").alias("__k"))
-    same = F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path"))
+    own = [f"c{i}" for i in range(len(columns))]
+    texts = own[columns.index(text)] if text in columns else "text"
+    given = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(columns, own, strict=True)], F.col(f"`{host}`").alias("host"), F.col(f"`{path}`").alias("path"), *([] if text in columns else [F.col(f"`{text}`").alias("text")]))
+    scored = cut(classify(given, heads, ["p_text", "p_toxic"], texts, text in columns), "quality-scored")  # texts are looked at once
+    sites, mean = site_posteriors(scored, "host", "path", "p_text")
+    size = sites.agg(F.sum(F.coalesce(F.length("host"), F.lit(0)) + F.coalesce(F.length("path"), F.lit(0)) + 96)).first()[0] or 0
+    sites = sites.withColumnsRenamed({"host": "site_host", "path": "site_path"})
+    same = F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path"))
     if size <= BROADCAST_BYTES:
         scored = scored.join(F.broadcast(sites), same, "left")
     else:
-        scored = scored.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
-        sites = sites.withColumn("__salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        scored = scored.join(sites, same & (F.col("__salt") == F.col("__salt2")), "left").drop("__salt", "__salt2")
+        scored = scored.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)))
+        sites = sites.withColumn("site_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        scored = scored.join(sites, same & (F.col("salt") == F.col("site_salt")), "left")
     clip = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
     odds = lambda c: F.log(clip(c) / (1 - clip(c)))
-    scored = scored.withColumn("path_posterior", (F.col("__s") - F.col("p_text") + F.col("__k") * F.col("host_posterior")) / (F.col("__n") - 1 + F.col("__k")))
-    z = odds(F.col("p_text")) + odds(F.col("path_posterior")) - odds(F.lit(mean))
-    scored = scored.withColumn("score", 1 / (1 + F.exp(-z))).withColumn("accepted", (F.col("score") >= accept) & (F.col("p_toxic") < toxic))
-    return scored.select(*docs.columns, "p_text", "p_toxic", "host_posterior", "path_posterior", "score", "accepted")
+    p = F.col("p_text")
+    others = (F.col("hs") - p + F.col("top") * mean) / (F.col("hn") - 1 + F.col("top"))
+    scored = scored.withColumn("path_posterior", (F.col("s") - p + F.col("low") * others) / (F.col("n") - 1 + F.col("low")))
+    scored = scored.withColumn("score", 1 / (1 + F.exp(-(odds(p) + odds(F.col("path_posterior")) - odds(F.lit(mean))))))
+    scored = scored.withColumn("accepted", (F.col("score") >= accept) & (F.col("p_toxic") < toxic))
+    return scored.select(*[F.col(o).alias(c) for c, o in zip(columns, own, strict=True)], *VERDICT)

@@ -81,7 +81,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores and verdicts on every document."""
     from leafstack.llm.quality import judge
 
-    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf_dir, "labels"))
+    judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=("doc_id",))
     return judged.select("doc_id", "p_text", "p_toxic", "host_posterior", "path_posterior", "score", judged.accepted.alias("keep"))
 
 

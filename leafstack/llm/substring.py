@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafstack.llm.common import BROADCAST_BYTES, chunks, cut, drop_cut, mix, run_hashes, text_buffers, word_hashes, word_spans
+from leafstack.llm.common import BROADCAST_BYTES, HOT_KEYS, chunks, cut, drop_cut, free, run_hashes, small, text_buffers, whole_key, word_hashes, word_spans
 
 #: Words whose hash can be a window's sketch; the sketch is the least hash among those in the window.
 GRAM = 4
-#: Reference words of a shard, about: they bound the automaton that a task holds.
+#: Reference words of a shard, about, and words of one document that go to one shard at most: they bound the automaton that a task holds.
 SHARD_WORDS = 150_000
 #: Shares of a shard's documents are dealt to tasks of their own beyond this many sketches, or an even share if that is more.
 SHARE = 2000
@@ -128,50 +128,54 @@ def _keys(data: np.ndarray, offsets: np.ndarray, n: int, whole: bool):
 
 
 def _sketches(spans: DataFrame, n: int, whole: bool) -> DataFrame:
-    """(key, doc) for the windows of each span; runs of equal keys once."""
+    """(key, doc, block) for the windows of each span; runs of equal keys once. block: which SHARD_WORDS of the document the window begins in."""
 
     def work(batches):
         for batch in batches:
-            doc = batch.column("doc").to_numpy(zero_copy_only=False)
+            doc, start = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "start"))
             data, offsets = text_buffers(batch.column("text"))
             for a, b in chunks(offsets):
                 part = offsets[a : b + 1]
-                *_, owner, keys = _keys(data[part[0] : part[-1]], part - part[0], n, whole)
+                _, _, at, first, owner, keys = _keys(data[part[0] : part[-1]], part - part[0], n, whole)
                 if len(keys):
                     new = np.r_[True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64)), pa.array(doc[a:b][owner[new]])], names=["key", "doc"])
+                    owner = owner[new]
+                    block = (start[a:b][owner] + first[new] - at[owner]) // SHARD_WORDS
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64)), pa.array(doc[a:b][owner]), pa.array(block.astype(np.int32))], names=["key", "doc", "block"])
 
-    return spans.select("doc", "text").mapInArrow(work, "key long, doc long")
+    return spans.select("doc", "start", "text").mapInArrow(work, "key long, doc long, block int")
 
 
 def _round(spans: DataFrame, n: int, whole: bool) -> DataFrame:
     """One pass over spans (doc, version, start, text).
 
-    Keys that occur in several documents name the first of them as their reference. Windows of a reference document
-    with such keys are its reference passages; they are dealt to shards. Windows of later documents with the same
-    keys go to the reference's shard, are streamed through its automaton, and either match or don't.
+    Keys that occur in several documents name the first of them, and a place in it, as their reference. Windows with
+    such keys, of the reference document and of later ones, go to the shard of that place. There the former make an
+    automaton, and the latter are streamed through it: they match or don't.
     Returns (doc, version, start, n, text): matched words (text null), or runs of windows that didn't match, as spans.
     """
     spark = spans.sparkSession
     rows = _sketches(spans, n, whole)
-    shared = rows.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).filter("first < last").select("key", "first", "n")
+    shared = rows.groupBy("key").agg(F.min("doc").alias("first"), F.min_by("block", "doc").alias("block"), F.max("doc").alias("last"), F.count("*").alias("n")).filter("first < last").select("key", "first", "block", "n")
     shared = cut(shared, "substring-keys")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     refs, uses = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = max(4 * tasks, refs * (n - GRAM) // SHARD_WORDS + 1)
     share = max(SHARE, uses // (2 * tasks))
-
-    def shard_of(first: np.ndarray) -> np.ndarray:
-        return (mix(first.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-
-    def loads(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(shard_of(batch.column("first").to_numpy(zero_copy_only=False))), batch.column("n")], names=["shard", "n"])
-
-    full = shared.select("first", "n").mapInArrow(loads, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).filter(F.col("n") > share).collect()  # at most uses / share of them
+    placed = shared.select("key", "first", "n", F.pmod(F.xxhash64("first", "block"), F.lit(shards)).alias("shard"))
+    full = placed.groupBy("shard").agg(F.sum("n").alias("n")).filter(F.col("n") > share).collect()  # at most uses / share of them
     salts = spark.sparkContext.broadcast({r.shard: -(-r.n // share) for r in full})
-    hits = rows.join(shared.select("key", "first"), "key").groupBy("doc").agg(F.collect_set(F.struct("key", "first")).alias("hits"))
-    hits = hits.select("doc", F.transform("hits", lambda x: x.key).alias("keys"), F.transform("hits", lambda x: x.first).alias("firsts"))
+    rows, placed = rows.select("key", "doc"), placed.select("key", "first", "shard", "n")
+    if small(shared, 40):
+        met = rows.join(F.broadcast(placed.drop("n")), "key")
+    else:  # keys of many rows, at most HOT_KEYS, meet them by broadcast; their rows are then dealt by document
+        often = F.broadcast(placed.filter(F.col("n") > uses // HOT_KEYS).select("key", F.col("first").alias("f"), F.col("shard").alias("s")))
+        dealt = rows.join(often, "key", "left").select(F.when(F.col("f").isNull(), F.col("key")).otherwise(F.xxhash64("doc")).alias("dealt"), F.col("f").isNull().alias("rest"), "key", "doc", "f", "s")
+        rest = placed.filter(F.col("n") <= uses // HOT_KEYS).select(F.col("key").alias("dealt"), F.lit(True).alias("rest"), "first", "shard")
+        met = dealt.join(rest, ["dealt", "rest"], "left").select("key", "doc", F.coalesce("f", "first").alias("first"), F.coalesce("s", "shard").alias("shard")).filter("first is not null")
+    code = F.col("shard") * 2 + (F.col("first") != F.col("doc")).cast("int")
+    hits = met.groupBy("doc").agg(F.collect_set(F.struct("key", code.alias("code"))).alias("hits"))  # of one document
+    hits = hits.select("doc", F.transform("hits", lambda x: x.key).alias("keys"), F.transform("hits", lambda x: x.code).alias("codes"))
 
     def route(batches):
         for batch in batches:
@@ -179,19 +183,18 @@ def _round(spans: DataFrame, n: int, whole: bool) -> DataFrame:
             size = 0
             data, offsets = text_buffers(batch.column("text"))
             columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "version", "start")]
-            keys_of, firsts_of = batch.column("keys"), batch.column("firsts")
+            keys_of, codes_of = batch.column("keys"), batch.column("codes")
             for r in range(batch.num_rows):
                 doc, version, start = (int(c[r]) for c in columns)
                 raw = data[offsets[r] : offsets[r + 1]]
                 starts, ends, _, first, _, keys = _keys(raw, np.array([0, len(raw)]), n, whole)
                 if not len(first):
                     continue
-                known, refs = keys_of[r].values.to_numpy(zero_copy_only=False).view(np.uint64), firsts_of[r].values.to_numpy(zero_copy_only=False)
+                known, codes = keys_of[r].values.to_numpy(zero_copy_only=False).view(np.uint64), codes_of[r].values.to_numpy(zero_copy_only=False)
                 order = np.argsort(known)
-                known, refs = known[order], refs[order]
+                known, codes = known[order], codes[order]
                 at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                found = known[at] == keys
-                code = np.where(found, 2 * shard_of(refs[at]) + (refs[at] != doc), -1)
+                code = np.where(known[at] == keys, codes[at], -1)
                 edge = np.flatnonzero(np.r_[True, code[1:] != code[:-1], True])
                 for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                     if (c := int(code[a])) < 0:
@@ -242,12 +245,15 @@ def _batch(rows: list[tuple], fields) -> pa.RecordBatch:
 
 def repeated_spans(docs: DataFrame, n: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, version, spans): for each text the word ranges (start, n) covered by windows that also occur in a document with a smaller key."""
-    spans = docs.filter(F.col(f"`{key}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("version"), F.lit(0).cast("long").alias("start"), F.col(f"`{text}`").cast("binary").alias("text"))
+    spans = docs.filter(F.col(f"`{key}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(whole_key(docs, key).alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("version"), F.lit(0).cast("long").alias("start"), F.col(f"`{text}`").cast("binary").alias("text"))
     first = cut(_round(spans, n, False), "substring-first")
     # a window that isn't in its sketch's first document may be in another earlier one: those windows go by themselves
     second = cut(_round(first.filter("text is not null").select("doc", "version", "start", "text"), n, True), "substring-second")
     found = first.filter("text is null").unionByName(second.filter("text is null"))
-    return found.groupBy("doc", "version").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    out = cut(found.groupBy("doc", "version").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "substring-spans")
+    for x in (first, second):
+        drop_cut(x)
+    return out
 
 
 def remove_repeats(docs: DataFrame, n: int = 13, key: str = "doc_id", text: str = "text", outputs: tuple[str, ...] = ("text",)) -> DataFrame:
@@ -257,12 +263,15 @@ def remove_repeats(docs: DataFrame, n: int = 13, key: str = "doc_id", text: str
     input. outputs: text (kept words, joined by one blank where any went, else as it was; replaces the column),
     n_words, n_removed, kept_sha256 (of the kept words joined by one blank) and spans (ranges of removed words).
     A null text stays null and has no words. A row with a null key keeps all and is no one's reference; rows with
-    one key aren't each other's. Ties can't occur otherwise. An empty table gives an empty table.
+    one key aren't each other's. Ties can't occur otherwise. Keys are whole numbers; others raise TypeError. Columns
+    of docs named like an output are replaced, others may have any names. An empty table gives an empty table. Of a
+    long document each SHARD_WORDS words are a reference of their own; a text is one row, and so has to fit a task.
     """
-    spans = cut(repeated_spans(docs, n, key, text).select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("spans").alias("__spans")), "substring-spans")
-    size = spans.agg(F.sum(F.size("__spans") * 16 + 32)).first()[0] or 0
-    same = (F.col(f"`{key}`").cast("long") == F.col("__doc")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__version"))
-    joined = docs.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, same, "left").drop("__doc", "__version")
+    spans_, doc_, version_ = (free(docs, x) for x in ("__spans", "__doc", "__version"))
+    spans = repeated_spans(docs, n, key, text).select(F.col("doc").alias(doc_), F.col("version").alias(version_), F.col("spans").alias(spans_))
+    size = spans.agg(F.sum(F.size(spans_) * 16 + 32)).first()[0] or 0
+    same = (whole_key(docs, key) == F.col(doc_)) & (F.xxhash64(F.col(f"`{text}`")) == F.col(version_))
+    joined = docs.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, same, "left").drop(doc_, version_)
     names = [c for c in docs.columns if c not in outputs or c == text]
     kinds = {"n_words": ("bigint", pa.int64()), "n_removed": ("bigint", pa.int64()), "kept_sha256": ("string", pa.string()), "spans": ("array<struct<start:bigint,n:bigint>>", pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64())])))}
     more = [c for c in outputs if c != text]
@@ -272,7 +281,7 @@ def remove_repeats(docs: DataFrame, n: int = 13, key: str = "doc_id", text: str
     def work(batches):
         for batch in batches:
             made: dict[str, list] = {c: [] for c in outputs}
-            for given, found in zip(batch.column(text), batch.column("__spans"), strict=True):
+            for given, found in zip(batch.column(text), batch.column(spans_), strict=True):
                 given, found = given.as_py(), sorted((s["start"], s["n"]) for s in found.as_py() or ())
                 words = (given or "").encode().split()
                 ranges: list[list[int]] = []
@@ -296,4 +305,4 @@ def remove_repeats(docs: DataFrame, n: int = 13, key: str = "doc_id", text: str
             columns = [pa.array(made[c], pa.string()) if c == text else batch.column(c) for c in kept] + [pa.array(made[c], kinds[c][1]) for c in more]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *more])
 
-    return joined.select(*[F.col(f"`{c}`") for c in names], "__spans").mapInArrow(work, schema)
+    return joined.select(*[F.col(f"`{c}`") for c in names], spans_).mapInArrow(work, schema)

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from leafstack.llm import minhash as M
 
@@ -104,3 +105,36 @@ def test_blocks(spark, monkeypatch):
             words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
         rows.append((k, " ".join(words)))
     assert run(spark, rows) == brute(rows)
+
+
+def test_shuffled_way(spark, monkeypatch):
+    """Nothing is small, many rows share keys, and texts meet few of their pairs at a time."""
+    from leafstack.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "HOT_KEYS", 40)
+    monkeypatch.setattr(M, "FAN", 4)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(base)) for k in range(40)]
+    for k in range(40, 110):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3])):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    assert run(spark, rows) == brute(rows)
+
+
+def test_several_texts_of_a_key(spark):
+    """One of them stands for the key, the same whatever the rows' order."""
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    rows = [(1, texts[0]), (2, texts[0]), (2, texts[1]), (3, texts[1]), (4, texts[2]), (4, None)]
+    got = [run(spark, r) for r in (rows, rows[::-1], rows * 2)]
+    assert got[0] == got[1] and got[2] == sorted(got[0] * 2) and got[0] in ([(1, 1), (2, 1), (2, 1), (3, 3), (4, 4), (4, 4)], [(1, 1), (2, 2), (2, 2), (3, 2), (4, 4), (4, 4)])
+
+
+def test_keys(spark):
+    with pytest.raises(TypeError):
+        M.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    odd = spark.createDataFrame([(1, "a b", 2, 3), (2, "a b", 3, 4)], "doc_id int, text string, label int, doc int")
+    assert [tuple(r) for r in M.keep_one(odd).collect()] == [(1, "a b", 2, 3)]

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -59,6 +60,15 @@ def test_posteriors_by_hand(spark):
         post = (sum(hosts[s]) + top * mean) / (len(hosts[s]) + top)
         assert abs(got[k].host_posterior - post) < 1e-9
     assert got[3].host_posterior < got[1].host_posterior
+    paths = {h: hosts[h] for h in hosts}  # one language, so each host has one path
+    spread = sum(len(v) * (sum(v) / len(v) - (sum(v) + top * mean) / (len(v) + top)) ** 2 for v in paths.values()) / n
+    low = Q.strength(mean, spread, within)
+    odds = lambda x: math.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
+    for k, _, s, _, _ in rows[:20]:
+        others = (sum(hosts[s]) - p[k] + top * mean) / (len(hosts[s]) - 1 + top)
+        path = (sum(hosts[s]) - p[k] + low * others) / (len(hosts[s]) - 1 + low)
+        assert abs(got[k].path_posterior - path) < 1e-9
+        assert abs(got[k].score - 1 / (1 + math.exp(-(odds(p[k]) + odds(path) - odds(mean))))) < 1e-9
     assert all(got[k].accepted == good for k, _, _, _, good in rows)
 
 
@@ -76,3 +86,31 @@ def test_rows(spark, monkeypatch):
     assert [round(r.score, 9) for r in sorted(salted, key=key)] == [round(r.score, 9) for r in sorted(got, key=key)]
     assert Q.judge(docs.filter("false"), labels).count() == 0
     assert all(r.accepted is not None for r in Q.judge(docs, labels.filter("false")).collect())
+
+
+def test_sparse_sites_shrink(spark):
+    """A document alone on its host has the global mean, and of two on one host each has the other's evidence, shrunk."""
+    _, docs, labels = table(spark)
+    alone = spark.createDataFrame([(900, "good words in a fine text about things", "one", "en"), (901, "good words in a fine text", "two", "en"), (902, "buy$$$ now%%% PILLS!!!", "two", "en")], docs.schema)
+    got = {r.doc_id: r for r in Q.judge(docs.union(alone), labels).collect()}
+    mean = sum(r.p_text for r in got.values()) / len(got)
+    assert abs(got[900].path_posterior - mean) < 1e-9
+    assert got[902].p_text < got[901].path_posterior < mean < got[902].path_posterior < got[901].p_text
+
+
+def test_features_pack():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 4000, 4096, 4097, 40000):
+        word = np.sort(rng.permutation(1 << Q.WORD_BITS)[:n])
+        assert (Q._unpacked(Q._packed(word)) == word).all() and len(Q._packed(word)) < 9000
+
+
+def test_repeated_keys_and_names(spark):
+    """Rows of the fit are one for each key; columns of any name come back as they were."""
+    _, docs, labels = table(spark, 60)
+    many = docs.union(docs).union(docs).selectExpr("*", "2 as host", "3 as c0", "4 as salt", "5 as n", "6 as s")
+    got = Q.judge(many, labels)
+    assert got.columns == [*many.columns, *Q.VERDICT] and got.count() == 180
+    assert got.filter("host <> 2 or c0 <> 3 or salt <> 4 or n <> 5 or s <> 6").count() == 0
+    one = {r.doc_id: r.p_text for r in Q.judge(docs, labels).collect()}
+    assert all(abs(one[r.doc_id] - r.p_text) < 1e-12 for r in got.collect())

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from leafstack.llm import substring as S
 
 
@@ -78,3 +80,26 @@ def test_real(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
     assert run(spark, rows, 13) == brute(rows, 13)
+
+
+def test_shuffled_way(spark, monkeypatch):
+    """Nothing is small, hot passages are few, and a long document is several references."""
+    from leafstack.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(S, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(S, "HOT_KEYS", 20)
+    monkeypatch.setattr(S, "SHARD_WORDS", 64)
+    rng = random.Random(5)
+    long = [f"l{rng.randrange(200)}" for _ in range(600)]
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(0, " ".join(long))] + [(k, " ".join(long[(at := rng.randrange(500)) : at + 90]) + f" x{k} {passage} y{k}") for k in range(1, 60)]
+    assert run(spark, rows, 13) == brute(rows, 13)
+
+
+def test_names_and_keys(spark):
+    rows = spark.createDataFrame([(1, "a b c d", 5, 6), (2, "a b c d", 7, 8)], "doc_id long, text string, __spans int, __doc int")
+    got = sorted(map(tuple, S.remove_repeats(rows, 3).collect()))
+    assert got == [(1, "a b c d", 5, 6), (2, "", 7, 8)]
+    with pytest.raises(TypeError):
+        S.remove_repeats(rows.selectExpr("string(doc_id) doc_id", "text"))
