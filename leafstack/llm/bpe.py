@@ -23,9 +23,6 @@ STEP = 2_000_000
 #: Words of more bytes are merged by a heap.
 LONG_WORD = 128
 NO_RANK = 1 << 60
-#: Words of more bytes are merged by a heap.
-LONG_WORD = 128
-NO_RANK = 1 << 60
 #: str.split() takes these for white space, the normaliser doesn't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: White space in Unicode's sense, which the normaliser makes one blank.
@@ -86,8 +83,7 @@ class Codec:
         self.white = regex.compile(f"[{WHITE}]+")
         marks = sorted(self.special, key=len, reverse=True)
         self.cutter = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
-        self.known: dict[str, bytes] = {}  # of the words met last
-        self.older: dict[str, bytes] = {}  # and of those before
+        self.known: dict[str, bytes] = {}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = (left.astype(np.int64) << 32) | right
@@ -96,8 +92,11 @@ class Codec:
 
     def merge_all(self, words: list[str]) -> list[bytes]:
         """Ids of each word, as bytes."""
-        raw = [w.encode() for w in words]
-        out: list[bytes] = [b""] * len(words)
+        return self.merge_raw([w.encode() for w in words])
+
+    def merge_raw(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of each word, given in UTF-8, as bytes."""
+        out: list[bytes] = [b""] * len(raw)
         by_length: dict[int, list[int]] = {}
         for k, r in enumerate(raw):
             by_length.setdefault(len(r), []).append(k)

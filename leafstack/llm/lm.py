@@ -1,63 +1,63 @@
-"""Scores of texts by a unigram base and by a causal self-attention model over ids of words, trained in numpy."""
+"""Scores of texts by a unigram base and by a causal self-attention model over subword ids, trained in numpy."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafstack.llm.common import chunks, cut, drop_cut, lower_ascii, mix, text_buffers, word_hashes, word_spans
+from leafstack.llm.bpe import Codec, byte_letters
+from leafstack.llm.common import chunks, cut, drop_cut, lower_ascii, text_buffers, word_hashes, word_spans
 
-#: Ids, one for each word and not pieces of it: 0 is the end (and what stands before a text), then the commonest words, then hashes of words' first bytes.
-IDS, WHOLE = 256, 127
-STEM = 3
+#: Pieces that the model knows, as inputs: 0 is the end (and what stands before a text), then the commonest pieces, then kinds of the others.
+KNOWN, KINDS = 2048, 32
+#: Classes that the model predicts: the end, the commonest pieces, and the kinds of the others. A piece given its class follows corpus counts.
+CLASSES = 64
 #: Inputs of a window, and the targets at its end that it scores: windows overlap by their difference.
-WINDOW, STRIDE = 32, 16
+WINDOW, STRIDE = 24, 16
 WIDTH = 16
-#: Every window of the training texts trains the model, in one of so many steps.
-STEPS, RATE = 24, 0.05
+#: Windows that are worked on at once: their arrays stay in the cache.
+BATCH = 96
+#: Every window of the training texts trains the model, in one of so many steps: one pass.
+STEPS, RATE = 32, 0.05
 #: Commonest words whose counts every task holds (16 bytes each); other words meet their counts by a join.
 HOT_WORDS = 200_000
+#: Text bytes that are cut into pieces at once, and sequences bytes that one task trains on, about.
+PIECE_BYTES, TASK_BYTES = 1 << 20, 4 << 20
 
 
 def in_training(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 7 != 2
 
 
-def _words(data: np.ndarray, offsets: np.ndarray):
-    """Texts' number of words, and of each word: its text, hash and stem id (from 0)."""
-    low = lower_ascii(data)
-    starts, ends, at = word_spans(low, offsets)
-    hashes = word_hashes(low, starts, ends)
-    stem = mix(word_hashes(low, starts, np.minimum(ends, starts + STEM))) % np.uint64(IDS - WHOLE - 1)
-    return np.diff(at), np.repeat(np.arange(len(at) - 1), np.diff(at)), hashes, stem.astype(np.int64)
-
-
-def _parts(batch, column: str):
+def _parts(batch, column: str, limit: int | None = None):
+    """Of chunks of the batch's texts: first and end row, lower-cased bytes, words' starts and ends, where texts' words begin, words' hashes."""
     data, offsets = text_buffers(batch.column(column))
-    for a, b in chunks(offsets):
+    for a, b in chunks(offsets, limit) if limit else chunks(offsets):
         part = offsets[a : b + 1]
-        yield a, b, *_words(data[part[0] : part[-1]], part - part[0])
+        low = lower_ascii(data[part[0] : part[-1]])
+        starts, ends, at = word_spans(low, part - part[0])
+        yield a, b, low, starts, ends, at, word_hashes(low, starts, ends)
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n, stem): how often each word is in the column text; words are 64-bit hashes."""
+    """(word, n): how often each word is in the column text; words are 64-bit hashes."""
 
     def work(batches):
         for batch in batches:
             found = []
-            for *_, hashes, stem in _parts(batch, "text"):
-                word, first, n = np.unique(hashes, return_index=True, return_counts=True)
-                found.append((word, n, stem[first]))
+            for *_, hashes in _parts(batch, "text"):
+                found.append(np.unique(hashes, return_counts=True))
             if found:
-                word, n, stem = (np.concatenate(x) for x in zip(*found, strict=True))
-                word, first, back = np.unique(word, return_index=True, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.bincount(back, weights=n, minlength=len(word)).astype(np.int64)), pa.array(stem[first].astype(np.int32))], names=["word", "n", "stem"])
+                word, n = (np.concatenate(x) for x in zip(*found, strict=True))
+                word, back = np.unique(word, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.bincount(back, weights=n, minlength=len(word)).astype(np.int64))], names=["word", "n"])
 
-    return texts.select("text").mapInArrow(work, "word long, n long, stem int").groupBy("word").agg(F.sum("n").alias("n"), F.min("stem").alias("stem"))
+    return texts.select("text").mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def commonest(counts: DataFrame) -> DataFrame:
@@ -75,21 +75,6 @@ def commonest(counts: DataFrame) -> DataFrame:
     return counts.filter(F.col("n") >= least if least is not None else F.lit(False)).select("word", "n")
 
 
-@dataclass
-class Vocabulary:
-    """What every task knows of the counts: the commonest words by hash, and each id's normaliser."""
-
-    hot: np.ndarray  # sorted hashes
-    logs: np.ndarray  # log10(count + 1) of each
-    top: np.ndarray  # sorted hashes of the words with an id of their own
-    top_ids: np.ndarray
-    inner: np.ndarray  # log10(count + distinct + 1) of each id
-    end: float  # log10(training texts + 1)
-
-    def ids(self, hashes: np.ndarray, stem: np.ndarray) -> np.ndarray:
-        return np.where((at := _find(self.top, hashes)) >= 0, self.top_ids[at] if len(self.top) else 0, stem + WHOLE + 1)
-
-
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Places of keys in a sorted table, or -1."""
     if not len(table):
@@ -98,16 +83,108 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+# --- pieces ----------------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Hot:
+    """The commonest words: sorted hashes, log10(count + 1) of each, and the pieces of those that this task has met."""
+
+    words: np.ndarray
+    logs: np.ndarray
+
+
+@dataclass
+class Pieces:
+    """Cuts words into pieces of a public vocabulary. Pieces of common words are remembered; others are cut once in each chunk."""
+
+    codec: Codec
+    hot: Hot
+    flat: np.ndarray = field(default_factory=lambda: np.zeros(1 << 16, np.uint16))
+    used: int = 0
+
+    def __post_init__(self):
+        self.first, self.size = np.full(len(self.hot.words), -1, np.int32), np.zeros(len(self.hot.words), np.int32)
+
+    def _put(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces of these words now are in flat, and how many."""
+        made = self.codec.merge_raw([low[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        size = np.array([len(x) // 4 for x in made], np.int32)
+        total = int(size.sum())
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(total, len(self.flat)), np.uint16)])
+        self.flat[self.used : self.used + total] = np.frombuffer(b"".join(made), "<u4")
+        first = self.used + np.cumsum(size) - size
+        self.used += total
+        return first.astype(np.int32), size
+
+    def cut(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All words' pieces, one after another, and how many each word has; at: places of words among the hot ones."""
+        common = np.flatnonzero(at >= 0)
+        new, where = np.unique(at[common], return_index=True)
+        fresh = self.first[new] < 0
+        new, where = new[fresh], common[where[fresh]]
+        if len(new):
+            self.first[new], self.size[new] = self._put(low, starts[where], ends[where])
+        first, size = (self.first[at], self.size[at]) if len(self.first) else np.zeros((2, len(at)), np.int32)
+        kept, rare = self.used, np.flatnonzero(at < 0)
+        if len(rare):
+            _, where, back = np.unique(hashes[rare], return_index=True, return_inverse=True)
+            put = self._put(low, starts[rare[where]], ends[rare[where]])
+            first[rare], size[rare] = put[0][back], put[1][back]
+        ends = np.cumsum(size, dtype=np.int64)
+        out = self.flat[np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        self.used = kept  # rare words are forgotten
+        return out, size
+
+
+@dataclass
+class Numbering:
+    """Of each piece: its number as an input, its class, and log10 of its share of its class."""
+
+    inputs: np.ndarray
+    classes: np.ndarray
+    within: np.ndarray
+    share: np.ndarray  # of each class
+
+
+def kinds(tokens: dict[int, str], size: int, suffix: str) -> np.ndarray:
+    """A kind below KINDS for each piece: its first byte's class, and whether it ends a word."""
+    letters = {x: b for b, x in enumerate(byte_letters())}
+    out = np.zeros(size, np.int64)
+    for i, t in tokens.items():
+        b = letters.get(t[:1], 0)
+        group = (b | 32) - 97 if 97 <= (b | 32) <= 122 else 26 if 48 <= b <= 57 else 27 if b < 128 else 28
+        out[i] = group % (KINDS // 2) * 2 + (bool(suffix) and t.endswith(suffix))
+    return out
+
+
+def number(counts: np.ndarray, kind: np.ndarray, end: int) -> Numbering:
+    """Number pieces by their counts in the training texts; end is the piece that ends a text."""
+    size, most = len(counts), counts.copy()
+    most[end] = counts.max(initial=0) + 1
+    order = np.lexsort((np.arange(size), -most))
+    inputs, classes = KNOWN - KINDS + kind, CLASSES - KINDS + kind
+    inputs[order[: KNOWN - KINDS]] = np.arange(min(size, KNOWN - KINDS))
+    classes[order[: CLASSES - KINDS]] = np.arange(min(size, CLASSES - KINDS))
+    total, each = np.bincount(classes, weights=counts, minlength=CLASSES), np.bincount(classes, minlength=CLASSES)
+    within = np.log10(counts + 1.0) - np.log10(total + each)[classes]
+    return Numbering(inputs.astype(np.int16), classes.astype(np.int16), within, (total + 1) / (total.sum() + CLASSES))
+
+
 # --- the model -------------------------------------------------------------------------------------------------------
 
-SHAPES = {"e": (IDS, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "u": (IDS, WIDTH), "b": (IDS,), "r": (WINDOW,)}
-TABLES = {"e": (IDS, WIDTH), "q": (IDS, WIDTH), "k": (IDS, WIDTH), "v": (IDS, WIDTH), "u": (IDS, WIDTH), "b": (IDS,), "r": (WINDOW,)}
+SHAPES = {"e": (KNOWN, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "u": (CLASSES, WIDTH), "b": (CLASSES,), "r": (WINDOW,)}
 #: How far before its query each key of a window stands; negative ones are in its future.
 DISTANCE = (WINDOW - STRIDE + np.arange(STRIDE))[:, None] - np.arange(WINDOW)[None, :]
+_FAR, _SEEN = np.maximum(DISTANCE, 0).ravel(), DISTANCE.ravel() >= 0
+SCALE = np.float32(1 / np.sqrt(WIDTH))
+#: Logits are at most MOST, and sums of their exps at least LEAST, so that none overflows or divides by 0.
+MOST, LEAST = np.float32(60), np.float32(1e-30)
 
 
 def start(share: np.ndarray) -> dict[str, np.ndarray]:
-    """Parameters before training: without context, ids have their shares."""
+    """Parameters before training: without context, classes have their shares."""
     rng = np.random.default_rng(0)
     out = {k: rng.normal(0, 0.3, s) for k, s in SHAPES.items()}
     out["u"], out["r"], out["b"] = np.zeros(SHAPES["u"]), np.zeros(WINDOW), np.log(share)
@@ -115,100 +192,95 @@ def start(share: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def tables(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Queries, keys and values of each id: ids are few, so they are worked out once."""
-    out = {"e": p["e"], "u": p["u"], "b": p["b"], "r": p["r"]} | {c: p["e"] @ p[c] for c in "qkv"}
+    """The parameters, and queries, keys and values of each input: inputs are few, so they are worked out once."""
+    out = p | {"eq": p["e"] @ p["q"] * SCALE, "ek": p["e"] @ p["k"], "ev": p["e"] @ p["v"]}
+    out["ones"], out["ones_of_rows"] = np.ones(CLASSES), np.ones(BATCH * STRIDE)
+    out["kv"] = np.concatenate([p["k"].T, p["v"].T])
+    out["mask"] = np.where(DISTANCE >= 0, p["r"][np.maximum(DISTANCE, 0)], -1e9)
     return {k: v.astype(np.float32) for k, v in out.items()}
 
 
-def windows_of(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs (windows by WINDOW, -1 where a text hasn't begun), targets (windows by STRIDE, -1 past its end), each window's text and place in it.
+def windows_of(n: np.ndarray, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs (windows by WINDOW), targets (windows by STRIDE, -1 past the end of a text), and each window's text.
 
-    ids: the targets of all texts one after another (n of each, the last being the end). A target's input is the id
-    before it, at first 0.
+    n: targets of each text; inputs and targets: those of all texts one after another. A target's input is what
+    stands before it; 0 stands before each text.
     """
     per = -(-n // STRIDE)
     text = np.repeat(np.arange(len(n)), per)
-    place = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-    base, size = (np.cumsum(n) - n)[text], n[text]
-    at = place[:, None] * STRIDE + np.arange(STRIDE)[None, :]
-    targets = np.where(at < size[:, None], ids[np.minimum(base[:, None] + at, len(ids) - 1)], -1)
-    at = place[:, None] * STRIDE + np.arange(STRIDE - WINDOW, STRIDE)[None, :] - 1
-    inputs = np.where(at == -1, 0, np.where((at < 0) | (at >= size[:, None]), -1, ids[np.clip(base[:, None] + at, 0, len(ids) - 1)]))
-    return inputs, targets, text, place
-
-
-def packed(inputs: np.ndarray, targets: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Windows as bytes: how many targets are live (and, as 128, whether the text begins here), then the ids from the first input to the last target."""
-    span = np.maximum(np.concatenate([inputs, targets[:, -1:]], axis=1), 0)
-    return np.concatenate([((targets >= 0).sum(1) | np.where(place == 0, 128, 0))[:, None], span], axis=1).astype(np.uint8)
-
-
-def unpacked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs and targets of packed windows."""
-    live, first, span = (rows[:, :1] & 127).astype(np.int64), rows[:, :1] >= 128, rows[:, 1:].astype(np.int64)
-    before = WINDOW - STRIDE
-    at = np.arange(WINDOW)[None, :]
-    inputs = np.where((first & (at < before)) | (at > before + live), -1, span[:, :WINDOW])
-    targets = np.where(np.arange(STRIDE)[None, :] < live, span[:, before + 1 :], -1)
-    return inputs, targets
-
-
-def forward(t: dict[str, np.ndarray], inputs: np.ndarray):
-    """Logits of each target, and what is needed to go back."""
-    x = np.maximum(inputs, 0)
+    base = (np.cumsum(per) - per) * STRIDE
+    place = np.arange(len(targets)) + np.repeat(base - (np.cumsum(n) - n), n)
+    want = np.full(len(text) * STRIDE, -1, np.int16)
+    want[place] = targets
+    own = np.zeros(len(text) * STRIDE + 1, np.int16)
+    own[place + 1] = inputs
+    own = own[:-1]
+    own[base[n > 0]] = 0
+    own = own.reshape(-1, STRIDE)
+    x = np.zeros((len(text), WINDOW), np.int16)
+    x[:, WINDOW - STRIDE :] = own
+    later = np.flatnonzero(text[1:] == text[:-1]) + 1
+    x[later, : WINDOW - STRIDE] = own[later - 1, 2 * STRIDE - WINDOW :]
+    return x, want.reshape(-1, STRIDE), text
+
+
+def forward(t: dict[str, np.ndarray], x: np.ndarray):
+    """exp of each class's logit for each target, the logits' own and total, and what is needed to go back. Logits over MOST count as that."""
     xq = x[:, WINDOW - STRIDE :]
-    q, k, v = t["q"][xq], t["k"][x], t["v"][x]
-    s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(1 / np.sqrt(WIDTH))
-    s += np.where(DISTANCE >= 0, t["r"][np.maximum(DISTANCE, 0)], np.float32(-1e9))
-    s += np.where(inputs < 0, np.float32(-1e9), np.float32(0))[:, None, :]
-    s -= s.max(2, keepdims=True)
-    a = np.exp(s, out=s)
-    a /= a.sum(2, keepdims=True)
-    h = a @ v + t["e"][xq]
-    return (h.reshape(-1, WIDTH) @ t["u"].T + t["b"]), (x, xq, q, k, v, a, h)
-
-
-def log_probabilities(t: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    k, v = t["ek"].take(x, 0), t["ev"].take(x, 0)
+    s = t["eq"].take(xq, 0) @ k.transpose(0, 2, 1)
+    s += t["mask"]
+    a = np.exp(np.minimum(s, MOST, out=s), out=s)
+    a *= (1 / ((a.reshape(-1, WINDOW) @ t["ones"][:WINDOW]) + LEAST)).reshape(*a.shape[:2], 1)
+    h = a @ v
+    h += t["e"].take(xq, 0)
+    z = h.reshape(-1, WIDTH) @ t["u"].T
+    z += t["b"]
+    return np.minimum(z, MOST, out=z), (xq, k, v, a, h)
+
+
+def log_probabilities(t: dict[str, np.ndarray], x: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """log10 of each target's probability, 0 for those past the end."""
-    z, _ = forward(t, inputs)
+    z, _ = forward(t, x.astype(np.intp))
     y = targets.ravel()
-    z -= z.max(1, keepdims=True)
-    out = (z[np.arange(len(y)), np.maximum(y, 0)] - np.log(np.exp(z).sum(1))) / np.log(10)
+    own = z[np.arange(len(y)), np.maximum(y, 0)]
+    out = (own - np.log(np.exp(z, out=z) @ t["ones"] + LEAST)) * np.float32(1 / np.log(10))
     return np.where(y < 0, 0, out).reshape(targets.shape)
 
 
-def gradient(t: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray) -> tuple[dict[str, np.ndarray], float, int]:
-    """Gradients with respect to the tables, the loss and the number of targets, summed."""
-    z, (x, xq, q, k, v, a, h) = forward(t, inputs)
+def gradient(t: dict[str, np.ndarray], x: np.ndarray, targets: np.ndarray, total: dict[str, np.ndarray]) -> tuple[float, int]:
+    """Add the gradients with respect to the parameters to total; the loss and the number of targets."""
+    x = x.astype(np.intp)
+    z, (xq, k, v, a, h) = forward(t, x)
     y = targets.ravel()
-    live = (y >= 0).astype(np.float32)
-    z -= z.max(1, keepdims=True)
-    p = np.exp(z)
-    p /= p.sum(1, keepdims=True)
-    line = np.arange(len(y))
-    loss = float(-(np.log(np.maximum(p[line, np.maximum(y, 0)], 1e-30)) * live).sum())
-    p[line, np.maximum(y, 0)] -= 1
-    p *= live[:, None]
+    live, line, y = y >= 0, np.arange(len(y)), np.maximum(y, 0)
+    own = z[line, y]
+    p = np.exp(z, out=z)
+    sums = p @ t["ones"] + LEAST
+    loss = float(((np.log(sums) - own) * live).sum(dtype=np.float64))
+    p *= (live / sums).astype(p.dtype)[:, None]
+    p[line, y] -= live
     flat = h.reshape(-1, WIDTH)
     dh = (p @ t["u"]).reshape(h.shape)
     da = dh @ v.transpose(0, 2, 1)
-    ds = a * (da - (a * da).sum(2, keepdims=True))
-    scale = np.float32(1 / np.sqrt(WIDTH))
-    dq, dk, dv = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale, a.transpose(0, 2, 1) @ dh
-    by_id = lambda ids, d: np.stack([np.bincount(ids.ravel(), weights=d[..., c].ravel(), minlength=IDS) for c in range(WIDTH)], axis=1)
-    out = {"e": by_id(xq, dh), "q": by_id(xq, dq), "k": by_id(x, dk), "v": by_id(x, dv), "u": p.T @ flat, "b": p.sum(0)}
-    out["r"] = np.bincount(np.maximum(DISTANCE, 0).ravel(), weights=np.where(DISTANCE >= 0, ds.sum(0), 0).ravel(), minlength=WINDOW)
-    return out, loss, int(live.sum())
-
-
-def back(p: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Gradients with respect to the parameters, from those of the tables."""
-    out = {"u": g["u"], "b": g["b"], "r": g["r"], "e": g["e"].copy()}
-    for c in "qkv":
-        out[c] = p["e"].T @ g[c]
-        out["e"] += g[c] @ p[c].T
-    return out
+    dv = a.transpose(0, 2, 1) @ dh
+    da -= np.einsum("ijk,ijk->ij", a, da)[:, :, None]
+    da *= a
+    q = t["eq"].take(xq, 0)  # holds SCALE, as dk has to
+    dq, dkv = (da @ k).reshape(-1, WIDTH) * SCALE, np.concatenate([da.transpose(0, 2, 1) @ q, dv], 2).reshape(-1, 2 * WIDTH)
+    e, eq = t["e"].take(x, 0).reshape(-1, WIDTH), t["e"].take(xq, 0).reshape(-1, WIDTH)
+    dx = (dkv @ t["kv"]).reshape(*x.shape, WIDTH)
+    dx[:, WINDOW - STRIDE :] += (dh.reshape(-1, WIDTH) + dq @ t["q"].T).reshape(h.shape)
+    cell = (x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+    total["e"] += np.bincount(cell, weights=dx.ravel(), minlength=KNOWN * WIDTH).reshape(KNOWN, WIDTH)
+    total["q"] += eq.T @ dq
+    dkv = e.T @ dkv
+    total["k"] += dkv[:, :WIDTH]
+    total["v"] += dkv[:, WIDTH:]
+    total["u"] += (flat.T @ p).T
+    total["b"] += t["ones_of_rows"][: len(p)] @ p
+    total["r"] += np.bincount(_FAR, weights=da.sum(0).ravel() * _SEEN, minlength=WINDOW)
+    return loss, int(live.sum())
 
 
 class Adam:
@@ -225,153 +297,178 @@ class Adam:
             x -= rate * (self.m[k] / (1 - 0.85**self.t)) / (np.sqrt(self.v[k] / (1 - 0.97**self.t)) + 1e-8)
 
 
-def train(sequences: DataFrame, share: np.ndarray) -> dict[str, np.ndarray]:
-    """Train on the windows of sequences (word, ids; ids: targets as bytes), one step for each of STEPS parts of them.
+def _windows(batch, numbering: Numbering):
+    """Of some rows at a time: first and end row, windows as windows_of() gives them, and all pieces with how many each row has."""
+    sizes = batch.column("pieces").cast(pa.binary()).to_pylist()
+    n = np.array([len(x) // 2 for x in sizes], np.int64)
+    for a, b in chunks(np.r_[0, np.cumsum(n)], 100_000):
+        pieces = np.frombuffer(b"".join(sizes[a:b]), "<u2")
+        yield a, b, windows_of(n[a:b], numbering.inputs[pieces], numbering.classes[pieces]), pieces, n[a:b]
+
+
+def train(sequences: DataFrame, numbering: Numbering, attention: bool = True) -> dict[str, np.ndarray]:
+    """Train on sequences (step, pieces), one step for each step from 0.
 
-    The gradient of a step is summed over the tasks that hold its windows; only the sum of it (a few thousand
-    numbers) comes to the driver.
+    The gradient of a step is summed over the tasks that hold its windows; only the sum of it (some tens of
+    thousands of numbers) comes to the driver. Without attention the values stay 0, for comparison.
     """
     spark = sequences.sparkSession
-
-    def pick(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                rows = [np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column("ids").slice(at, 200)]
-                salt = batch.column("salt").slice(at, 200).to_numpy(zero_copy_only=False).view(np.uint64)
-                n = np.array([len(x) for x in rows])
-                inputs, targets, text, place = windows_of(np.concatenate(rows).astype(np.int64), n)
-                step = (mix(salt[text] + place.astype(np.uint64)) >> np.uint64(20)) % np.uint64(STEPS)
-                both = packed(inputs, targets, place)
-                for s in np.unique(step).tolist():
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([both[step == s].tobytes()], pa.binary())], names=["step", "windows"])
-
-    windows = sequences.select("salt", "ids").mapInArrow(pick, "step int, windows binary")
-    windows = cut(windows.repartition("step", F.pmod(F.xxhash64("windows"), F.lit(12))).sortWithinPartitions("step"), "lm-windows")
-    p = start(share)
+    p = start(numbering.share)
+    if not attention:
+        p["v"][:] = 0
     adam = Adam(p, STEPS)
-    sizes = {k: int(np.prod(s)) for k, s in TABLES.items()}
+    sizes = {k: int(np.prod(s)) for k, s in SHAPES.items()}
     for s in range(STEPS):
-        now = spark.sparkContext.broadcast(tables(p))
+        now = spark.sparkContext.broadcast((tables(p), numbering))
 
         def work(batches, now=now):
-            total = np.zeros(sum(sizes.values()) + 2)
+            t, numbering = now.value
+            g, seen = {k: np.zeros(shape) for k, shape in SHAPES.items()}, np.zeros(2)
             for batch in batches:
-                for x in batch.column("windows"):
-                    every = np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, WINDOW + 2)
-                    for at in range(0, len(every), 512):
-                        g, loss, n = gradient(now.value, *unpacked(every[at : at + 512]))
-                        total += np.concatenate([*(g[k].ravel() for k in TABLES), [loss, n]])
-            if total[-1]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "value"])
-
-        summed = windows.filter(F.col("step") == s).select("windows").mapInArrow(work, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
-        now.unpersist()
+                for _, _, (x, targets, _), _, _ in _windows(batch, numbering):
+                    for at in range(0, len(x), BATCH):
+                        seen += gradient(t, x[at : at + BATCH], targets[at : at + BATCH], g)
+            if seen[1]:
+                total = np.concatenate([*(x.ravel() for x in g.values()), seen])
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "value"])
+
+        summed = sequences.filter(F.col("step") == s).select("pieces").mapInArrow(work, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
+        now.destroy()
         if not len(summed):
             continue
         total = np.zeros(sum(sizes.values()) + 2)
         total[summed["at"].to_numpy()] = summed["value"].to_numpy()
         g, at = {}, 0
         for k, size in sizes.items():
-            g[k] = total[at : at + size].reshape(TABLES[k]) / total[-1]
+            g[k] = total[at : at + size].reshape(SHAPES[k]) / total[-1]
             at += size
-        adam.step(back(p, g))
-    drop_cut(windows)
+        if not attention:
+            g["v"][:] = 0
+        adam.step(g)
     return p
 
 
-def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", training: Column | None = None) -> DataFrame:
+def attend(t: dict[str, np.ndarray], numbering: Numbering, batch) -> np.ndarray:
+    """log10 of the probability of each row's text by the model: of each piece's class given the pieces before it, and of the piece given its class."""
+    out = np.zeros(batch.num_rows)
+    for a, b, (x, targets, text), pieces, n in _windows(batch, numbering):
+        found = np.empty(len(x))
+        for at in range(0, len(x), BATCH):
+            found[at : at + BATCH] = log_probabilities(t, x[at : at + BATCH], targets[at : at + BATCH]).sum(1, dtype=np.float64)
+        out[a:b] = np.bincount(text, weights=found, minlength=b - a) + np.bincount(np.repeat(np.arange(b - a), n), weights=numbering.within[pieces], minlength=b - a)
+    return out
+
+
+def sequences_of(given: DataFrame, hot: Hot, spec: str, end: int) -> DataFrame:
+    """(key, held_out, step, n_tokens, known, logs, rare, times, pieces) of rows (key, held_out, step, text).
+
+    known, logs: the common words' number and sum of log10(count + 1); rare, times: the other words and how often
+    each is there; pieces: those of all words and the end, as unsigned 16-bit integers.
+    """
+    both = given.sparkSession.sparkContext.broadcast((spec, hot))
+
+    def work(batches):
+        cutter = None
+        for batch in batches:
+            cutter = cutter or Pieces(Codec(json.loads(both.value[0])), both.value[1])
+            for a, b, low, starts, ends, at, hashes in _parts(batch, "text", PIECE_BYTES):
+                n, place = np.diff(at), _find(cutter.hot.words, hashes)
+                doc, seen = np.repeat(np.arange(b - a), n), place >= 0
+                logs = np.bincount(doc, weights=np.where(seen, cutter.hot.logs[place] if len(cutter.hot.logs) else 0, 0), minlength=b - a)
+                flat, size = cutter.cut(low, starts, ends, hashes, place)
+                each = np.bincount(doc, weights=size, minlength=b - a).astype(np.int64)
+                flat = np.insert(flat, np.cumsum(each), end).astype("<u2")
+                offsets = np.r_[0, np.cumsum(each + 1)] * 2
+                rare, owner = hashes[~seen], doc[~seen]
+                order = np.lexsort((rare, owner))
+                rare, owner = rare[order], owner[order]
+                new = np.flatnonzero(np.r_[True, (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1])]) if len(rare) else np.zeros(0, np.int64)
+                lists = pa.array(np.searchsorted(owner[new], np.arange(b - a + 1)), pa.int32())
+                blob = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat.tobytes())])
+                yield pa.RecordBatch.from_arrays([
+                    *[batch.column(c).slice(a, b - a) for c in ("key", "held_out", "step")], pa.array(n + 1), pa.array(np.bincount(doc, weights=seen, minlength=b - a).astype(np.int64)), pa.array(logs),
+                    pa.ListArray.from_arrays(lists, pa.array(rare[new].view(np.int64))), pa.ListArray.from_arrays(lists, pa.array(np.diff(np.r_[new, len(rare)]))), blob,
+                ], names=["key", "held_out", "step", "n_tokens", "known", "logs", "rare", "times", "pieces"])
+
+    kind = given.schema["key"].dataType.simpleString()
+    return given.mapInArrow(work, f"key {kind}, held_out boolean, step int, n_tokens long, known long, logs double, rare array<long>, times array<long>, pieces binary")
+
+
+def piece_counts(sequences: DataFrame, size: int) -> np.ndarray:
+    """How often each piece of the vocabulary is in the sequences."""
+
+    def work(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for x in batch.column("pieces"):
+                total += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=size)[:size] if len(x.as_buffer()) > 4 * size else 0
+            few = [x.as_buffer() for x in batch.column("pieces") if len(x.as_buffer()) <= 4 * size]
+            for at in range(0, len(few), 200):
+                total += np.bincount(np.frombuffer(b"".join(few[at : at + 200]), "<u2"), minlength=size)[:size]
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["piece", "n"])
+
+    out = np.zeros(size, np.int64)
+    found = sequences.select("pieces").mapInArrow(work, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()  # a row for each piece of the vocabulary
+    out[found["piece"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def score_texts(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", training: Column | None = None) -> DataFrame:
     """For every row: key, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
-    Tokens are words (A-Z lower-cased) and one end. base_score sums log10((c + 1) / (N + V + 1)). score is the
-    model's log10 probability of the text: of each token's id given the ids before it, by attention over
-    overlapping windows that score each token once, and of the token given its id, by (c + 1) / (its id's tokens +
-    distinct tokens + 1), where an unseen word has the place that is left. Counts cover all training texts, and
-    every window of every training text trains the model.
+    Tokens are words (A-Z lower-cased) and one end. base_score sums log10((c + 1) / (N + V + 1)). For score, words
+    are cut into pieces of a public BPE vocabulary (vocabulary: its tokenizers JSON file on the driver), each word's
+    pieces covering it whole. score is the model's log10 probability of all the text's pieces and its end: of each
+    piece's class given the pieces before it, by masked attention over overlapping windows that score each piece
+    once, and of the piece given its class, by (c + 1) / (its class's pieces in texts and vocabulary). A token's
+    score is the sum of its pieces'. Counts cover all training texts, and every window of every training text trains
+    the model, in one pass.
 
     A null text counts as empty: one token, the end. A null key counts as an empty one. Equal rows get equal rows;
     an empty table gives an empty table; without training texts all counts are 0. Other columns may have any names.
     """
     spark = docs.sparkSession
+    spec = open(vocabulary, encoding="utf-8").read()
+    codec = Codec(json.loads(spec))
+    suffix, size, end = json.loads(spec)["model"].get("end_of_word_suffix") or "", max(codec.tokens) + 1, max(codec.tokens)
+    if size > 1 << 16:
+        raise ValueError("the vocabulary has more than 65,536 pieces")
     held = ~(in_training(F.col(f"`{key}`")) if training is None else training)
     given = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).alias("name"), held.alias("held_out"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    given = given.select("key", F.xxhash64("name", "text").alias("version"), "held_out", "text")
+    step = F.when(F.col("held_out"), -1).otherwise(F.pmod(F.xxhash64("name", "text"), F.lit(STEPS)).cast("int"))
+    given = given.select("key", "held_out", step.alias("step"), "text")
     learn = given.filter("not held_out")
     counts = cut(word_counts(learn), "lm-counts")
     texts = learn.count()
     words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    total, kinds = words + texts, distinct + (texts > 0)
-    hot = commonest(counts).toPandas().sort_values(["n", "word"], ascending=[False, True])
-    code, number = hot["word"].to_numpy(np.int64).view(np.uint64), hot["n"].to_numpy(np.int64)
-    order, top = np.argsort(code), np.argsort(code[:WHOLE])
-    known = Vocabulary(code[order], np.log10(number[order] + 1.0), code[:WHOLE][top], top + 1, np.zeros(IDS), float(np.log10(texts + 1)))
-    bare = spark.sparkContext.broadcast(known)
-
-    def by_id(batches):
-        for batch in batches:
-            word, n, stem = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            ids = bare.value.ids(word.view(np.uint64), stem.astype(np.int64))
-            n, kinds = np.bincount(ids, weights=n, minlength=IDS), np.bincount(ids, minlength=IDS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(IDS, dtype=np.int32)), pa.array(n.astype(np.int64)), pa.array(kinds.astype(np.int64))], names=["id", "n", "kinds"])
-
-    tokens, each = np.zeros(IDS), np.zeros(IDS)
-    for r in counts.mapInArrow(by_id, "id int, n long, kinds long").groupBy("id").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():  # a row for each id
-        tokens[r.id], each[r.id] = r.n, r.kinds
-    tokens[0], each[0] = texts, texts > 0
-    known.inner = np.log10(tokens + each + 1)
-    vocabulary = spark.sparkContext.broadcast(known)
-
-    def sequences(batches):
+    total, types = words + texts, distinct + (texts > 0)
+    common = commonest(counts).toPandas()
+    code, often = common["word"].to_numpy(np.int64).view(np.uint64), common["n"].to_numpy(np.int64)
+    order = np.argsort(code)
+    found = sequences_of(given, Hot(code[order], np.log10(often[order] + 1.0)), spec, end).withColumn("row", F.monotonically_increasing_id())
+    rows = cut(found, "lm-sequences")
+    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    rest = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
+    numbering = number(piece_counts(rows.filter("not held_out"), size), kinds(codec.tokens, size, suffix), end)
+    weight = rows.filter("not held_out").agg(F.coalesce(F.sum(F.octet_length("pieces")), F.lit(0))).first()[0]
+    parts = max(4, int(weight // (STEPS * TASK_BYTES)) + 1)
+    dealt = rows.filter("not held_out").select("step", "pieces", F.pmod(F.xxhash64("row"), F.lit(parts)).alias("part"))
+    dealt = cut(dealt.repartition(STEPS * parts, "step", "part").sortWithinPartitions("step"), "lm-steps")
+    model = train(dealt, numbering)
+    drop_cut(dealt)
+    ready = spark.sparkContext.broadcast((tables(model), numbering))
+
+    def score(batches):
+        t, numbering = ready.value
         for batch in batches:
-            for a, b, n, doc, hashes, stem in _parts(batch, "text"):
-                at = _find(vocabulary.value.hot, hashes)
-                seen = at >= 0
-                logs = np.bincount(doc, weights=np.where(seen, vocabulary.value.logs[at] if len(vocabulary.value.logs) else 0, 0), minlength=b - a)
-                ids = vocabulary.value.ids(hashes, stem).astype(np.uint8)
-                ends = np.cumsum(n)
-                flat = np.insert(ids, ends, 0)
-                offsets = np.r_[0, np.cumsum(n + 1)]
-                blobs = [flat[offsets[i] : offsets[i + 1]].tobytes() for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("key", "version", "held_out")], pa.array(n + 1), pa.array(np.bincount(doc, weights=seen, minlength=b - a).astype(np.int64)), pa.array(logs), pa.array(blobs, pa.binary())], names=["key", "version", "held_out", "n_tokens", "known", "logs", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(attend(t, numbering, batch))], names=[*batch.schema.names[:-1], "score"])
 
     kind = given.schema["key"].dataType.simpleString()
-    rows = cut(given.mapInArrow(sequences, f"key {kind}, version long, held_out boolean, n_tokens long, known long, logs double, ids binary"), "lm-sequences")
-
-    def others(batches):
-        for batch in batches:
-            version = batch.column("version").to_numpy(zero_copy_only=False)
-            for a, b, _, doc, hashes, _ in _parts(batch, "text"):
-                rare = _find(vocabulary.value.hot, hashes) < 0
-                hashes, doc = hashes[rare], doc[rare]
-                order = np.lexsort((hashes, doc))
-                hashes, doc = hashes[order], doc[order]
-                new = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.zeros(0, np.int64)
-                if len(new):
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[new].view(np.int64)), pa.array(version[a:b][doc[new]]), pa.array(np.diff(np.r_[new, len(doc)]))], names=["word", "version", "times"])
-
-    rest = given.select("version", "text").mapInArrow(others, "word long, version long, times long")
-    rest = rest.join(counts.select("word", "n"), "word").groupBy("word", "version", "n").agg(F.max("times").alias("times"))  # repeated rows have one version and count once
-    rest = rest.groupBy("version").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
-    model = train(rows.filter("not held_out").select(F.col("version").alias("salt"), "ids"), (tokens + 1) / (tokens.sum() + IDS))
-    ready = spark.sparkContext.broadcast(tables(model))
-
-    def attend(batches):
-        t, inner = ready.value, vocabulary.value.inner
-        for batch in batches:
-            out = np.zeros(batch.num_rows)
-            sizes = batch.column("n_tokens").to_numpy(zero_copy_only=False)
-            for a, b in chunks(np.r_[0, np.cumsum(sizes)], 200_000):
-                ids = np.frombuffer(b"".join(x.as_py() for x in batch.column("ids").slice(a, b - a)), np.uint8).astype(np.int64)
-                inputs, targets, text, _ = windows_of(ids, sizes[a:b])
-                found = np.empty(len(targets))
-                for at in range(0, len(targets), 512):
-                    found[at : at + 512] = log_probabilities(t, inputs[at : at + 512], targets[at : at + 512]).sum(1, dtype=np.float64)
-                doc = np.repeat(np.arange(b - a), sizes[a:b])
-                out[a:b] = np.bincount(text, weights=found, minlength=b - a) - np.bincount(doc, weights=inner[ids], minlength=b - a)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=[*batch.schema.names[:-1], "model"])
-
-    scored = rows.mapInArrow(attend, f"key {kind}, version long, held_out boolean, n_tokens long, known long, logs double, model double").join(rest, "version", "left")
-    logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + known.end
+    scored = rows.select("row", "key", "held_out", "n_tokens", "known", "logs", "pieces").mapInArrow(score, f"row long, key {kind}, held_out boolean, n_tokens long, known long, logs double, score double").join(rest, "row", "left")
+    logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + float(np.log10(texts + 1))
     return scored.select(
         F.col("key").alias(key), "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0)) + int(texts > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * float(np.log10(total + kinds + 1))).alias("base_score"), (logs + F.col("model")).alias("score"),
+        (logs - F.col("n_tokens") * float(np.log10(total + types + 1))).alias("base_score"), "score",
     )

@@ -150,6 +150,8 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_lm")
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and attention scores of every document."""
+    import public_tokenizers
+
     from leafstack.llm.lm import score_texts
 
-    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))

@@ -1,66 +1,131 @@
+import json
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 
 from leafstack.llm import lm as L
+from leafstack.llm.bpe import Codec
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def test_windows():
-    ids, n = np.arange(1, 101) % 200, np.array([1, 40, 59])
-    inputs, targets, text, place = L.windows_of(ids, n)
+    """Every target once, after what stands before it."""
+    rng = np.random.default_rng(5)
+    n = np.array([1, 40, 59, 16, 17, 0, 100])
+    inputs, targets = rng.integers(1, 2000, n.sum()).astype(np.int16), rng.integers(0, 64, n.sum()).astype(np.int16)
+    x, y, text = L.windows_of(n, inputs, targets)
     at = 0
     for t, size in enumerate(n):
-        mine = targets[text == t].ravel()
-        assert mine[mine >= 0].tolist() == ids[at : at + size].tolist()
-        before = np.r_[0, ids[at : at + size]]
-        for w in np.flatnonzero(text == t):
+        mine = y[text == t].ravel()
+        assert mine[mine >= 0].tolist() == targets[at : at + size].tolist() and (mine[size:] < 0).all()
+        before = np.r_[np.zeros(L.WINDOW, np.int64), inputs[at : at + size]]  # before[WINDOW - 1 + j] is what stands before target j
+        for place, w in enumerate(np.flatnonzero(text == t)):
             for j in range(L.WINDOW):
-                k = place[w] * L.STRIDE + j - (L.WINDOW - L.STRIDE)
-                assert inputs[w, j] == (before[k] if 0 <= k <= size - 0 and k < size + 0 else -1) or k >= size
+                k = place * L.STRIDE + j - (L.WINDOW - L.STRIDE)  # whose input this is
+                if k < size:
+                    assert x[w, j] == (before[L.WINDOW - 1 + k] if k > 0 else 0)
         at += size
 
 
 def model(seed=1):
-    p = L.start(np.full(L.IDS, 1 / L.IDS))
+    p = L.start(np.full(L.CLASSES, 1 / L.CLASSES))
     rng = np.random.default_rng(seed)
     p["u"], p["r"] = rng.normal(0, 0.3, p["u"].shape), rng.normal(0, 0.3, p["r"].shape)
     return p
 
 
-def test_attention_is_causal_and_sums_to_one():
+def wide(p):
+    """Tables in double precision."""
+    out = L.tables(p)
+    exact = p | {"eq": p["e"] @ p["q"] * float(L.SCALE), "ek": p["e"] @ p["k"], "ev": p["e"] @ p["v"], "kv": np.concatenate([p["k"].T, p["v"].T]), "mask": np.where(L.DISTANCE >= 0, p["r"][np.maximum(L.DISTANCE, 0)], -1e9)}
+    return {k: exact.get(k, v.astype(np.float64)) for k, v in out.items()}
+
+
+def slow(p, x):
+    """Class probabilities after each input, one at a time, from the definition."""
+    out = []
+    for i in range(L.WINDOW - L.STRIDE, L.WINDOW):
+        e = p["e"][x]
+        s = np.array([(e[i] @ p["q"]) @ (e[j] @ p["k"]) / math.sqrt(L.WIDTH) + p["r"][i - j] for j in range(i + 1)])
+        a = np.exp(s - s.max())
+        h = e[i] + (a / a.sum()) @ (e[: i + 1] @ p["v"])
+        z = p["u"] @ h + p["b"]
+        out.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+    return np.array(out)
+
+
+def test_attention_against_its_definition():
+    p = model()
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, L.KNOWN, (3, L.WINDOW)).astype(np.int16), rng.integers(0, L.CLASSES, (3, L.STRIDE)).astype(np.int16)
+    y[2, 5:] = -1
+    got = L.log_probabilities(L.tables(p), x, y)
+    for w in range(3):
+        want = np.log10(slow(p, x[w])[np.arange(L.STRIDE), np.maximum(y[w], 0)])
+        assert np.allclose(got[w], np.where(y[w] < 0, 0, want), atol=1e-5)
+
+
+def test_attention_is_causal():
     t = L.tables(model())
-    ids = np.random.default_rng(2).integers(1, L.IDS, 60)
-    a = L.windows_of(ids, np.array([60]))
+    ids, n = np.random.default_rng(2).integers(1, 60, 60).astype(np.int16), np.array([60])
     other = ids.copy()
     other[50:] = 7
-    b = L.windows_of(other, np.array([60]))
-    x, y = (L.log_probabilities(t, w[0], w[1]).ravel()[:50] for w in (a, b))
+    a, b = (L.windows_of(n, i, ids) for i in (ids, other))
+    x, y = (L.log_probabilities(t, w[0], w[1]).ravel()[:51] for w in (a, b))
     assert np.allclose(x, y)
-    z, _ = L.forward(t, a[0][:1])
-    p = np.exp(z - z.max(1, keepdims=True))
-    direct = (p / p.sum(1, keepdims=True))[0, ids[0]]
-    assert abs(math.log10(direct) - x[0]) < 1e-5
 
 
 def test_gradient():
-    p = {k: v.astype(np.float64) for k, v in model().items()}
+    p = model()
     rng = np.random.default_rng(3)
-    inputs, targets, *_ = L.windows_of(rng.integers(1, 20, 45), np.array([5, 40]))
-
-    def loss(p):
-        t = {"e": p["e"], "u": p["u"], "b": p["b"], "r": p["r"]} | {c: p["e"] @ p[c] for c in "qkv"}
-        return L.gradient(t, inputs, targets)[1]
-
-    t = {"e": p["e"], "u": p["u"], "b": p["b"], "r": p["r"]} | {c: p["e"] @ p[c] for c in "qkv"}
-    g = L.back(p, L.gradient(t, inputs, targets)[0])
-    for name, at in (("u", (3, 2)), ("b", (5,)), ("r", (2,)), ("q", (1, 2)), ("k", (3, 1)), ("v", (0, 4)), ("e", (7, 3)), ("e", (0, 1))):
-        q, h = {k: v.copy() for k, v in p.items()}, 1e-5
-        q[name][at] += h
-        up = loss(q)
-        q[name][at] -= 2 * h
-        assert abs((up - loss(q)) / (2 * h) - g[name][at]) < 1e-3 * max(1, abs(g[name][at]))
+    x, y, _ = L.windows_of(np.array([5, 40]), rng.integers(1, 20, 45).astype(np.int16), rng.integers(0, 20, 45).astype(np.int16))
+    g = {k: np.zeros(s) for k, s in L.SHAPES.items()}
+    loss, n = L.gradient(wide(p), x, y, g)
+    assert n == 45 and loss > 0
+    for name, at in (("u", (3, 2)), ("b", (5,)), ("r", (2,)), ("r", (0,)), ("q", (1, 2)), ("k", (3, 1)), ("v", (0, 4)), ("e", (7, 3)), ("e", (0, 1))):
+        z, h = {k: v.copy() for k, v in p.items()}, 1e-5
+        z[name][at] += h
+        up = L.gradient(wide(z), x, y, {k: np.zeros(s) for k, s in L.SHAPES.items()})[0]
+        z[name][at] -= 2 * h
+        down = L.gradient(wide(z), x, y, {k: np.zeros(s) for k, s in L.SHAPES.items()})[0]
+        assert abs((up - down) / (2 * h) - g[name][at]) < 1e-3 * max(1, abs(g[name][at])), name
+
+
+def test_pieces_cover_words():
+    """Each word's pieces are those of the codec, however words are mixed and whichever are remembered."""
+    codec = Codec(json.load(open(VOCABULARY)))
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcé€1-", k=rng.randrange(1, 9))) for _ in range(300)] + ["w" * 500]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(40))) for _ in range(30)]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    hashes = np.concatenate([h for *_, h in L._parts(batch, "text")])
+    for hot in (np.unique(hashes)[::3], np.zeros(0, np.uint64)):
+        cutter = L.Pieces(codec, L.Hot(hot, np.zeros(len(hot))))
+        for _ in range(2):
+            for a, b, low, starts, ends, at, hashes in L._parts(batch, "text", 500):
+                flat, size = cutter.cut(low, starts, ends, hashes, L._find(hot, hashes))
+                found = [w for t in texts[a:b] for w in t.split()]
+                want = codec.merge_raw([w.encode() for w in found])
+                assert flat.astype("<u4").tobytes() == b"".join(want) and size.tolist() == [len(x) // 4 for x in want]
+
+
+def test_numbering():
+    rng = np.random.default_rng(1)
+    counts, kind = rng.zipf(1.5, 5000) % 1000, rng.integers(0, L.KINDS, 5000)
+    counts[4999] = 0
+    n = L.number(counts, kind, 4999)
+    assert n.inputs[4999] == n.classes[4999] == 0 and n.inputs.max() < L.KNOWN and n.classes.max() < L.CLASSES
+    for c in range(L.CLASSES):  # shares of a class's pieces sum to one
+        mine = n.classes == c
+        assert not mine.any() or abs((10 ** n.within[mine]).sum() - 1) < 1e-9
+    assert abs(n.share.sum() - 1) < 1e-9
 
 
 def brute(rows):
@@ -73,7 +138,7 @@ def brute(rows):
 
 def check(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got, wanted = L.score_texts(df).collect(), brute(rows)
+    got, wanted = L.score_texts(df, VOCABULARY).collect(), brute(rows)
     assert len(got) == len(rows)
     for r in got:
         w = wanted[r.doc_id]
@@ -90,25 +155,33 @@ def test_real(spark, sf_dir, monkeypatch):
     assert got and sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_attention_helps(spark, sf_dir):
+    """On held-out texts the model is better than the same model trained without attention, and both than shares alone."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(L.F.col("doc_id").alias("key"), (~L.in_training(L.F.col("doc_id"))).alias("held_out"), L.F.pmod("doc_id", L.F.lit(L.STEPS)).cast("int").alias("step"), L.F.coalesce("text", L.F.lit("")).alias("text"))
+    spec = open(VOCABULARY, encoding="utf-8").read()
+    codec = Codec(json.loads(spec))
+    rows = L.sequences_of(docs, L.Hot(np.zeros(0, np.uint64), np.zeros(0)), spec, 49407).cache()
+    learn = rows.filter("not held_out")
+    numbering = L.number(L.piece_counts(learn, 49408), L.kinds(codec.tokens, 49408, "</w>"), 49407)
+    import pyarrow as pa
+
+    held = pa.RecordBatch.from_pandas(rows.filter("held_out").select("pieces").toPandas(), preserve_index=False)
+    scores = [L.attend(L.tables(p), numbering, held).sum() for p in (L.train(learn, numbering), L.train(learn, numbering, attention=False), L.start(numbering.share))]
+    pieces = sum(len(x) // 2 for x in held.column("pieces").to_pylist())
+    print([x / pieces for x in scores])
+    assert scores[0] > scores[1] + 0.005 * pieces and scores[1] > scores[2]
+
+
 def test_odd_rows(spark):
     rows = [(1, "One two one"), (1, "One two one"), (2, None), (3, ""), (None, "two é"), (4, "w" * 50000 + " w"), (5, "x " * 5000), *((k, f"a b{k}") for k in range(10, 30))]
     check(spark, rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert L.score_texts(df.filter("false")).count() == 0
-
-
-def test_packed_windows():
-    for size in ([1], [16], [17], [31, 32, 33], [1, 40, 59, 200]):
-        n = np.array(size)
-        ids = np.random.default_rng(4).integers(0, L.IDS, n.sum())
-        inputs, targets, _, place = L.windows_of(ids, n)
-        got = L.unpacked(L.packed(inputs, targets, place))
-        assert (got[0] == inputs).all() and (got[1] == targets).all()
+    assert L.score_texts(df.filter("false"), VOCABULARY).count() == 0
 
 
-def test_every_window_trains(spark):
-    """A text of one window is learned from, whatever its salt."""
-    share = np.full(L.IDS, 1 / L.IDS)
-    for salt in range(3):
-        rows = spark.createDataFrame([(salt, bytes([5, 6, 7, 0]))], "salt long, ids binary")
-        assert np.any(L.train(rows, share)["u"])
+def test_every_text_trains(spark):
+    """A text of one window is learned from, in whichever step it is."""
+    numbering = L.number(np.arange(100), np.zeros(100, np.int64), 99)
+    for step in (0, 7, L.STEPS - 1):
+        rows = spark.createDataFrame([(step, np.array([5, 6, 7, 99], "<u2").tobytes())], "step int, pieces binary")
+        assert np.any(L.train(rows, numbering)["u"])
