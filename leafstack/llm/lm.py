@@ -121,10 +121,10 @@ class Pieces:
     def cut(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All words' pieces, one after another, and how many each word has; at: places of words among the hot ones."""
         common = np.flatnonzero(at >= 0)
-        new, where = np.unique(at[common], return_index=True)
-        fresh = self.first[new] < 0
-        new, where = new[fresh], common[where[fresh]]
-        if len(new):
+        fresh = common[self.first[at[common]] < 0]
+        if len(fresh):
+            new, where = np.unique(at[fresh], return_index=True)
+            where = fresh[where]
             self.first[new], self.size[new] = self._put(low, starts[where], ends[where])
         first, size = (self.first[at], self.size[at]) if len(self.first) else np.zeros((2, len(at)), np.int32)
         kept, rare = self.used, np.flatnonzero(at < 0)
@@ -168,7 +168,7 @@ def number(counts: np.ndarray, kind: np.ndarray, end: int) -> Numbering:
     inputs[order[: KNOWN - KINDS]] = np.arange(min(size, KNOWN - KINDS))
     classes[order[: CLASSES - KINDS]] = np.arange(min(size, CLASSES - KINDS))
     total, each = np.bincount(classes, weights=counts, minlength=CLASSES), np.bincount(classes, minlength=CLASSES)
-    within = np.log10(counts + 1.0) - np.log10(total + each)[classes]
+    within = np.log10(counts + 1.0) - np.log10(np.maximum(total + each, 1))[classes]
     return Numbering(inputs.astype(np.int16), classes.astype(np.int16), within, (total + 1) / (total.sum() + CLASSES))
 
 
@@ -197,7 +197,12 @@ def tables(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     out["ones"], out["ones_of_rows"] = np.ones(CLASSES), np.ones(BATCH * STRIDE)
     out["kv"] = np.concatenate([p["k"].T, p["v"].T])
     out["mask"] = np.where(DISTANCE >= 0, p["r"][np.maximum(DISTANCE, 0)], -1e9)
-    return {k: v.astype(np.float32) for k, v in out.items()}
+    out = {k: v.astype(np.float32) for k, v in out.items()}
+    # whether no score and no logit can be more than MOST
+    size = {k: float(np.linalg.norm(out[k], axis=1).max()) for k in ("e", "eq", "ek", "ev", "u")}
+    out["near"] = size["eq"] * size["ek"] + float(out["r"].max()) < MOST
+    out["low"] = (size["e"] + size["ev"]) * size["u"] + float(out["b"].max()) < MOST
+    return out
 
 
 def windows_of(n: np.ndarray, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,13 +235,13 @@ def forward(t: dict[str, np.ndarray], x: np.ndarray):
     k, v = t["ek"].take(x, 0), t["ev"].take(x, 0)
     s = t["eq"].take(xq, 0) @ k.transpose(0, 2, 1)
     s += t["mask"]
-    a = np.exp(np.minimum(s, MOST, out=s), out=s)
+    a = np.exp(s if t["near"] else np.minimum(s, MOST, out=s), out=s)
     a *= (1 / ((a.reshape(-1, WINDOW) @ t["ones"][:WINDOW]) + LEAST)).reshape(*a.shape[:2], 1)
     h = a @ v
     h += t["e"].take(xq, 0)
     z = h.reshape(-1, WIDTH) @ t["u"].T
     z += t["b"]
-    return np.minimum(z, MOST, out=z), (xq, k, v, a, h)
+    return (z if t["low"] else np.minimum(z, MOST, out=z)), (xq, k, v, a, h)
 
 
 def log_probabilities(t: dict[str, np.ndarray], x: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -248,17 +253,19 @@ def log_probabilities(t: dict[str, np.ndarray], x: np.ndarray, targets: np.ndarr
     return np.where(y < 0, 0, out).reshape(targets.shape)
 
 
-def gradient(t: dict[str, np.ndarray], x: np.ndarray, targets: np.ndarray, total: dict[str, np.ndarray]) -> tuple[float, int]:
-    """Add the gradients with respect to the parameters to total; the loss and the number of targets."""
+def nothing() -> dict[str, np.ndarray]:
+    """Sums of gradients to begin with; that of the inputs lies across."""
+    return {k: np.zeros(shape[::-1] if k == "e" else shape) for k, shape in SHAPES.items()}
+
+
+def gradient(t: dict[str, np.ndarray], x: np.ndarray, targets: np.ndarray, total: dict[str, np.ndarray]) -> int:
+    """Add the gradients of the loss (in natural logarithms) with respect to the parameters to total; the number of targets."""
     x = x.astype(np.intp)
     z, (xq, k, v, a, h) = forward(t, x)
     y = targets.ravel()
     live, line, y = y >= 0, np.arange(len(y)), np.maximum(y, 0)
-    own = z[line, y]
     p = np.exp(z, out=z)
-    sums = p @ t["ones"] + LEAST
-    loss = float(((np.log(sums) - own) * live).sum(dtype=np.float64))
-    p *= (live / sums).astype(p.dtype)[:, None]
+    p *= (live / (p @ t["ones"] + LEAST)).astype(p.dtype)[:, None]
     p[line, y] -= live
     flat = h.reshape(-1, WIDTH)
     dh = (p @ t["u"]).reshape(h.shape)
@@ -269,10 +276,10 @@ def gradient(t: dict[str, np.ndarray], x: np.ndarray, targets: np.ndarray, total
     q = t["eq"].take(xq, 0)  # holds SCALE, as dk has to
     dq, dkv = (da @ k).reshape(-1, WIDTH) * SCALE, np.concatenate([da.transpose(0, 2, 1) @ q, dv], 2).reshape(-1, 2 * WIDTH)
     e, eq = t["e"].take(x, 0).reshape(-1, WIDTH), t["e"].take(xq, 0).reshape(-1, WIDTH)
-    dx = (dkv @ t["kv"]).reshape(*x.shape, WIDTH)
-    dx[:, WINDOW - STRIDE :] += (dh.reshape(-1, WIDTH) + dq @ t["q"].T).reshape(h.shape)
-    cell = (x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
-    total["e"] += np.bincount(cell, weights=dx.ravel(), minlength=KNOWN * WIDTH).reshape(KNOWN, WIDTH)
+    dx = (t["kv"].T @ dkv.T).reshape(WIDTH, *x.shape)
+    dx[:, :, WINDOW - STRIDE :] += (dh.reshape(-1, WIDTH).T + t["q"] @ dq.T).reshape(WIDTH, *xq.shape)
+    for place, weights in zip(total["e"], dx.reshape(WIDTH, -1), strict=True):
+        place += np.bincount(x.ravel(), weights=weights, minlength=KNOWN)
     total["q"] += eq.T @ dq
     dkv = e.T @ dkv
     total["k"] += dkv[:, :WIDTH]
@@ -280,7 +287,7 @@ def gradient(t: dict[str, np.ndarray], x: np.ndarray, targets: np.ndarray, total
     total["u"] += (flat.T @ p).T
     total["b"] += t["ones_of_rows"][: len(p)] @ p
     total["r"] += np.bincount(_FAR, weights=da.sum(0).ravel() * _SEEN, minlength=WINDOW)
-    return loss, int(live.sum())
+    return int(live.sum())
 
 
 class Adam:
@@ -323,13 +330,13 @@ def train(sequences: DataFrame, numbering: Numbering, attention: bool = True) ->
 
         def work(batches, now=now):
             t, numbering = now.value
-            g, seen = {k: np.zeros(shape) for k, shape in SHAPES.items()}, np.zeros(2)
+            g, seen = nothing(), 0
             for batch in batches:
                 for _, _, (x, targets, _), _, _ in _windows(batch, numbering):
                     for at in range(0, len(x), BATCH):
                         seen += gradient(t, x[at : at + BATCH], targets[at : at + BATCH], g)
-            if seen[1]:
-                total = np.concatenate([*(x.ravel() for x in g.values()), seen])
+            if seen:
+                total = np.concatenate([*((x.T if k == "e" else x).ravel() for k, x in g.items()), [seen]])
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "value"])
 
@@ -337,7 +344,7 @@ def train(sequences: DataFrame, numbering: Numbering, attention: bool = True) ->
         now.destroy()
         if not len(summed):
             continue
-        total = np.zeros(sum(sizes.values()) + 2)
+        total = np.zeros(sum(sizes.values()) + 1)
         total[summed["at"].to_numpy()] = summed["value"].to_numpy()
         g, at = {}, 0
         for k, size in sizes.items():
