@@ -31,7 +31,7 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 
 #: Letters and numbers that the regex module knows from newer versions of Unicode than the tokenizers library does.
 NEWER = (
-    "\\u0558\\u058b-\\u058c\\u088f\\u0c5c\\u0cdc\\u208f\\u209d-\\u209f\\ua7cf\\ua7e2\\ua7f1\\uab6c-\\uab6d"
+    "\\u0558\\u058b-\\u058c\\u088f\\u0c5c\\u0cdc\\u208f\\u209d-\\u209f\\ua7cf\\ua7dd\\ua7e2\\ua7f1\\uab6c-\\uab6d"
     "\\U000107bb-\\U000107bf\\U00010940-\\U00010959\\U00010ec5-\\U00010ec7\\U00010ed9-\\U00010eee\\U00011b0a\\U00011db0-\\U00011ddb\\U00011de0-\\U00011de9\\U00011df1"
     "\\U0001246f\\U00012475-\\U0001247f\\U00012550-\\U00012686\\U00016ea0-\\U00016eb8\\U00016ebb-\\U00016ed3\\U00016ff2-\\U00016ff6"
     "\\U000187f8-\\U000187ff\\U00018cd6-\\U00018cda\\U00018d09-\\U00018d20\\U00018d80-\\U00018df2\\U00018e00-\\U00019191\\U000191a0-\\U000191d2"
@@ -40,6 +40,29 @@ NEWER = (
     "\\U0002b73a-\\U0002b73f\\U0002b81e\\U0002cea2-\\U0002cead\\U000323b0-\\U00033479\\U0003d000-\\U0003fc3f"
 )
 
+#: Combining marks that Python composes and reorders and the library, whose tables for this are older, leaves where they are.
+UNMOVED = (
+    "\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b-\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c"
+    "\U00010d24-\U00010d27\U00010eab-\U00010eac\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85\U00011070\U0001133b\U0001145e"
+    "\U00011839-\U0001183a\U00011930\U0001193d-\U0001193e\U00011943\U000119e0\U00011a34\U00011a47\U00011a99\U00011d42\U00011d44-\U00011d45\U00011d97"
+    "\U00011f41-\U00011f42\U00016ff0-\U00016ff1\U0001e08f\U0001e130-\U0001e136\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef"
+)
+#: First and last capital letter, and how far on the small ones are, of those that the library knows and Python doesn't.
+NEWER_CAPITALS = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1),
+    (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+)
+SMALL = {c: c + on for first, last, on in NEWER_CAPITALS for c in range(first, last + 1)}
+_UNMOVED = re.compile(f"([{UNMOVED}])")
+_CAPITAL = re.compile("[" + "".join(map(chr, SMALL)) + "]")
+
+
+def normalised(text: str) -> str:
+    """NFC as the library has it."""
+    if not _UNMOVED.search(text):
+        return unicodedata.normalize("NFC", text)
+    return "".join([unicodedata.normalize("NFC", part) for part in _UNMOVED.split(text)])
+
 
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: itself if printable Latin-1, else the next from U+0100."""
@@ -177,7 +200,9 @@ class Codec:
     def _split(self, text: str) -> list[str]:
         """Blank-free strings of a text without special tokens, normalised."""
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+            text = normalised(text)
+            if _CAPITAL.search(text):
+                text = text.translate(SMALL)
         parts = self.white.split(text) if SEPARATORS.search(text) else text.split()
         return "\n".join(parts).replace("Σ", "σ").lower().split("\n") if parts else parts
 

@@ -379,8 +379,12 @@ def read_jpeg(data: bytes) -> Image:
         elif marker == 0xC2:
             high, wide = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             parts = [Component(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])]
+            if not parts or any(not 1 <= x <= 4 for c in parts for x in (c.h, c.v)):
+                raise ValueError("sampling factors are from 1 to 4")
             h, v = max(c.h for c in parts), max(c.v for c in parts)
             mw, mh = -(-wide // (8 * h)), -(-high // (8 * v))
+            if sum(c.h * c.v for c in parts) * mw * mh > 8 * len(data):  # each block takes a bit of the first scan at least
+                raise ValueError("more blocks than the data can hold")
             for c in parts:
                 c.wide, c.high = -(-(-(-wide * c.h // h)) // 8), -(-(-(-high * c.v // v)) // 8)
                 c.blocks = np.zeros((mh * c.v, mw * c.h, 64), np.int32)
@@ -446,14 +450,24 @@ def stored_payload(image: Image) -> bytes:
     return b"".join([(c.blocks.reshape(-1, 64) - OFFSET).astype(np.uint8).tobytes() for c in image.components])[:n]
 
 
-def feature_of(image: Image) -> str:
+def tensor_of(image: Image) -> np.ndarray:
+    """The picture at full resolution: uint8 (height, width, 3)."""
+    out = np.empty((image.height, image.width, 3), np.uint8)
+    at = 0
+    for part in rgb_rows(image):
+        out[at : at + len(part)] = part
+        at += len(part)
+    return out
+
+
+def feature_of(image: Image, tensor: np.ndarray) -> str:
     """Size and, over the whole RGB tensor, each channel's mean and standard deviation."""
     n, total, square = 0, np.zeros(3), np.zeros(3)
-    for part in rgb_rows(image):
-        flat = part.reshape(-1, 3)
-        n += len(flat)
-        wide = flat.astype(np.float32)
-        total += flat.sum(0, dtype=np.int64)
+    flat = tensor.reshape(-1, 3)
+    for at in range(0, len(flat), 64 * STRIP):
+        wide = flat[at : at + 64 * STRIP].astype(np.float32)
+        n += len(wide)
+        total += wide.sum(0, dtype=np.float64)
         square += np.einsum("ij,ij->j", wide, wide, dtype=np.float64)
     mean = total / n
     spread = np.sqrt(np.maximum(square / n - mean * mean, 0))
@@ -463,7 +477,7 @@ def feature_of(image: Image) -> str:
 #: What media_column() can return: its Spark and Arrow types.
 OUTPUTS = {
     "n_bytes": ("bigint", pa.int64()), "payload_bytes": ("bigint", pa.int64()), "payload_sha256": ("string", pa.string()), "tail_crc32": ("bigint", pa.int64()), "media_bytes": ("bigint", pa.int64()), "media_sha256": ("string", pa.string()),
-    "feature": ("string", pa.string()), "media": ("binary", pa.binary()), "payload": ("binary", pa.binary()), "width": ("int", pa.int32()), "height": ("int", pa.int32()), "rgb": ("binary", pa.binary()),
+    "feature": ("string", pa.string()), "media": ("binary", pa.binary()), "payload": ("binary", pa.binary()), "width": ("int", pa.int32()), "height": ("int", pa.int32()), "rgb": ("binary", pa.binary()), "rgb_sha256": ("string", pa.string()),
 }
 
 
@@ -487,7 +501,7 @@ def media_column(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     The payload (UTF-8, zero bytes up to a positive multiple of 64) becomes the coefficients of the JPEG, its unit
     that is lossless. Reading accumulates all scans into coefficient arrays. outputs names columns of OUTPUTS, after
     those in keep: media is the stored form; payload, payload_bytes, payload_sha256 and tail_crc32 (of its last 64
-    bytes) are read back from it; rgb is the tensor (height, width, 3) of its picture at full resolution; n_bytes
+    bytes) are read back from it; rgb is the tensor (height, width, 3) of its picture at full resolution, rgb_sha256 its digest; n_bytes
     counts the text's own bytes. A null text counts as empty: its payload is 64 zero bytes. Equal texts give equal
     values; an empty table gives an empty table; other columns of docs may have any names.
     """
@@ -496,10 +510,10 @@ def media_column(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
         payload = payload_of(given)
         media = write_jpeg(payload, b"payload bytes=%d" % len(payload))
         image = read_jpeg(media)
-        back = stored_payload(image)
+        back, tensor = stored_payload(image), tensor_of(image)
         return {
             "n_bytes": len((given or "").encode()), "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-64:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(),
-            "feature": feature_of(image) if "feature" in outputs else None, "media": media, "payload": back, "width": image.width, "height": image.height, "rgb": b"".join(x.tobytes() for x in rgb_rows(image)) if "rgb" in outputs else None,
+            "feature": feature_of(image, tensor) if "feature" in outputs else None, "media": media, "payload": back, "width": image.width, "height": image.height, "rgb": tensor.tobytes() if "rgb" in outputs else None, "rgb_sha256": hashlib.sha256(tensor).hexdigest() if "rgb_sha256" in outputs else None,
         }
 
     return _mapped(docs, keep, text, outputs, make)
@@ -508,7 +522,8 @@ def media_column(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 def decode_media(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Width, height, rgb (tensor height, width, 3) and feature of any progressive JPEGs with one or three components, 8 bits deep.
 
-    A value that is null, empty, broken or another kind of file gives nulls. Other columns may have any names.
+    A value that is null, empty, broken or another kind of file gives nulls, as does one that declares more blocks
+    than its bytes can hold (a bit each at least), which bounds what is allocated. Other columns may have any names.
     """
     outputs = ("width", "height", "rgb", "feature")
 
@@ -517,8 +532,8 @@ def decode_media(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("
             image = read_jpeg(bytes(given or b""))
             if not image.width or not image.height or len(image.components) not in (1, 3):
                 raise ValueError("no picture")
-            return {"width": image.width, "height": image.height, "rgb": b"".join(x.tobytes() for x in rgb_rows(image)), "feature": feature_of(image)}
-        except (ValueError, KeyError, IndexError, StopIteration, TypeError):
+            return {"width": image.width, "height": image.height, "rgb": (tensor := tensor_of(image)).tobytes(), "feature": feature_of(image, tensor)}
+        except (ValueError, KeyError, IndexError, StopIteration, TypeError, ArithmeticError, MemoryError):
             return dict.fromkeys(outputs)
 
     return _mapped(df, keep, media, outputs, make)

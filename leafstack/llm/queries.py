@@ -65,7 +65,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as a progressive JPEG and read back, as digests and features."""
     from leafstack.llm.media import media_column
 
-    return media_column(table(spark, sf_dir, "documents"), outputs=("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"))
+    return media_column(table(spark, sf_dir, "documents"), outputs=("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "rgb_sha256"))
 
 
 @query("op10_html")

@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafstack.llm.common import BROADCAST_BYTES, cut, drop_cut
+from leafstack.llm.common import BROADCAST_BYTES, cut, drop_cut, whole_key
 
 #: Vectors in a block of candidates and in a block of queries; a task scores one pair of blocks at a time.
 CANDIDATES, QUERIES = 8192, 1024
 #: Bins of a histogram.
 BINS = 256
+#: Scores beyond this, either way, count as this; components are cut off at HUGE before.
+FARTHEST, HUGE = (1 << 62) - (1 << 12), 1e300
 
 
 def _blocks(rows: DataFrame, size: int, scale: float) -> DataFrame:
@@ -38,7 +40,7 @@ def _blocks(rows: DataFrame, size: int, scale: float) -> DataFrame:
             for dim in np.unique(sizes).tolist():
                 which = np.flatnonzero(sizes == dim)
                 data = values[offsets[which][:, None] + np.arange(dim)]
-                waiting.setdefault(dim, []).append((ids[which], np.floor(scale * data)))
+                waiting.setdefault(dim, []).append((ids[which], np.clip(np.floor(np.clip(data, -HUGE / scale, HUGE / scale) * scale), -HUGE, HUGE)))
                 while sum(len(x[0]) for x in waiting[dim]) >= size:
                     yield batch_of([out(dim, size)])
         if found := [out(dim, size) for dim in waiting if sum(len(x[0]) for x in waiting[dim])]:
@@ -66,8 +68,11 @@ def _scores(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         s = (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int32)
     elif top < 1 << 53:
         s = (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    else:
+    elif top < FARTHEST:
         s = a.astype(np.int64) @ b.astype(np.int64).T
+    else:  # in Python's whole numbers
+        whole = lambda x: np.array([[int(v) for v in row] for row in x.tolist()], object).reshape(x.shape)
+        s = np.clip(whole(a) @ whole(b).T, -FARTHEST, FARTHEST).astype(np.int64) if row.dim else np.zeros((len(q), len(c)), np.int64)
     return q, c, s
 
 
@@ -102,21 +107,32 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
 
     Returns query_id, rank (from 1), vec_id, score. Ties go to the smaller key. Vectors that are null or hold a null
     or a non-finite component take no part, nor do rows with a null key; a vector has no score with one of another
-    length, but an empty one has score 0 with the other empty ones. Rows with the query's own key are no
+    length, but an empty one has score 0 with the other empty ones. Scores beyond FARTHEST (about 4.6e18) either way
+    count as that. Of several vectors with one key, the least one asks. Keys are whole numbers; others raise TypeError. Rows with the query's own key are no
     candidates. A key that is there several times counts as several candidates (and, as a query, once). An empty
     table gives an empty table.
     """
     spark = vectors.sparkSession
-    clean = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("x"), is_query.alias("is_query")).filter("id is not null and x is not null and forall(x, v -> v is not null and not isnan(v) and abs(v) < double('infinity'))")
+    clean = vectors.select(whole_key(vectors, key).alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("x"), is_query.alias("is_query")).filter("id is not null and x is not null and forall(x, v -> v is not null and not isnan(v) and abs(v) < double('infinity'))")
     candidates = cut(_blocks(clean.select("id", "x"), CANDIDATES, scale), "topk-candidates")
-    asked = _blocks(clean.filter("is_query").dropDuplicates(["id"]).select("id", "x"), QUERIES, scale)
+    asked = _blocks(clean.filter("is_query").groupBy("id").agg(F.min("x").alias("x")), QUERIES, scale)
     queries = cut(asked.select(F.monotonically_increasing_id().alias("b"), F.col("dim").alias("q_dim"), F.col("peak").alias("q_peak"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "topk-queries")
-    size = queries.agg(F.sum(F.octet_length("q_data") + 3 * F.octet_length("q_ids"))).first()[0] or 0
+    sizes = sorted((r.b, r.n) for r in queries.select("b", (F.octet_length("q_data") + 3 * F.octet_length("q_ids")).alias("n")).collect())  # a row for each block of queries
+    groups, room = [[]], BROADCAST_BYTES
+    for b, n in sizes:
+        if n > room and groups[-1]:
+            groups.append([])
+            room = BROADCAST_BYTES
+        groups[-1].append(b)
+        room -= n
 
     def pairs(side: DataFrame) -> DataFrame:
-        """Every block of candidates with every block of queries of its dimension; nothing is dealt by a key."""
-        same = (F.col("dim") <= F.col("q_dim")) & (F.col("dim") >= F.col("q_dim"))
-        return candidates.crossJoin(F.broadcast(side) if size <= BROADCAST_BYTES else side).filter(same)
+        """Every block of candidates with every block of queries of its dimension: queries go to the candidates by broadcast, as many blocks at a time as may be."""
+        parts = [candidates.join(F.broadcast(side.filter(F.col("b").between(g[0], g[-1])) if len(groups) > 1 else side), F.col("dim") == F.col("q_dim")) for g in groups if g] or [candidates.join(F.broadcast(side), F.col("dim") == F.col("q_dim"))]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
 
     def with_state(state: DataFrame) -> DataFrame:
         """Blocks of queries with the bounds of their queries in order; there are at most QUERIES in a block."""

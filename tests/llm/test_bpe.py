@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from leafstack.llm import bpe
@@ -29,6 +30,17 @@ def test_same_as_library(both):
         assert codec.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("around", ["{0}", "{0}{0}", "a{0}a", "1{0}1", "a\u0301{0}\u0323\u0301z"])
+def test_every_character(both, around):
+    """All code points: alone, doubled, between letters and digits, and beside combining marks."""
+    codec, library = both
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 100_000):
+        texts = [around.format(chr(c)) for c in points[at : at + 100_000]]
+        wanted = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [t for t, x, y in zip(texts, codec.encode_all(texts), wanted, strict=True) if x != y] == []
+
+
 def test_small_memory(both, monkeypatch):
     codec, library = both
     monkeypatch.setattr(bpe, "CACHE_WORDS", 3)

@@ -206,3 +206,28 @@ def test_rows(spark):
     bad = spark.createDataFrame([(1, bytearray(got[1].media)), (2, None), (3, bytearray()), (4, bytearray(b"\xff\xd8nothing")), (5, bytearray(got[5].media[:900]))], "doc_id long, media binary")
     out = {r.doc_id: r for r in M.decode_media(bad).collect()}
     assert out[1].feature == got[1].feature and bytes(out[1].rgb) == bytes(got[1].rgb) and all(out[k].rgb is None for k in (2, 3, 4, 5))
+
+
+def test_hostile_files(spark):
+    """Factors of 0, sizes that the data can't hold, and cut or changed bytes give nulls or a picture, nothing else."""
+    good = M.write_jpeg(M.payload_of("some text " * 40), b"payload bytes=%d" % len(M.payload_of("some text " * 40)))
+    at = good.index(b"\xff\xc2")
+    zero = good[: at + 11] + b"\x00" + good[at + 12 :]
+    vast = good[: at + 5] + b"\xff\xff\xff\xff" + good[at + 9 :]
+    rng = random.Random(1)
+    broken = [good[: rng.randrange(len(good))] for _ in range(20)]
+    for _ in range(60):
+        b = bytearray(good)
+        b[rng.randrange(2, len(b))] = rng.randrange(256)
+        broken.append(bytes(b))
+    rows = [(0, good), (1, zero), (2, vast), (3, None), (4, b""), (5, b"\xff\xd8\xff\xd9"), *((10 + i, b) for i, b in enumerate(broken))]
+    got = {r.doc_id: r for r in M.decode_media(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert len(got) == len(rows) and got[0].rgb and all(got[k].rgb is None and got[k].feature is None for k in range(1, 6))
+
+
+def test_tensor_is_behind_the_query(spark):
+    docs = spark.createDataFrame([(1, "some text " * 900), (2, None)], "doc_id long, text string")
+    for r in M.media_column(docs, outputs=("rgb", "rgb_sha256", "feature", "width", "height")).collect():
+        tensor = np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3)
+        assert r.rgb_sha256 == hashlib.sha256(r.rgb).hexdigest()
+        assert r.feature.startswith(f"{r.width}x{r.height} mean {tensor[..., 0].mean():.3f}")
