@@ -7,14 +7,16 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Digits that a number in a name is padded to; longer ones compare by their last digits.
-NATURAL_DIGITS = 20
-
-
 def natural_key(name: Column) -> Column:
     """A key whose order is that of names with case ignored and digit runs compared as numbers."""
-    padded = F.regexp_replace(F.lower(name), r"(\d+)", "0" * NATURAL_DIGITS + "$1")
-    return F.regexp_replace(padded, rf"\d*(\d{{{NATURAL_DIGITS}}})", "$1")
+
+    def part(x: Column) -> Column:
+        """A run of digits without its leading zeros, after how many digits that leaves."""
+        digits = F.regexp_replace(x, r"^0+(?=\d)", "")
+        return F.when(x.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(x)
+
+    parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
+    return F.array_join(F.transform(parts, part), "")
 
 
 def search_terms(query: str) -> list[int | str]:

@@ -88,7 +88,7 @@ def finder_info(info: Column) -> Column:
 def long_line(index: Column, is_dir: Column, is_resource: Column, is_link: Column, encrypted: Column, size: Column, packed: Column, code: Column, date: Column, name: Column) -> Column:
     """A line of the long listing."""
     mark = lambda c, letter: F.when(F.coalesce(c, F.lit(False)), letter).otherwise("-")
-    shown = F.coalesce(F.lpad(size.cast("string"), 11, " "), F.lit(" ----------"))
+    shown = F.coalesce(F.lpad(size.cast("string"), F.greatest(F.lit(11), F.length(size.cast("string"))), F.lit(" ")), F.lit(" ----------"))
     number = index.cast("string")
     return F.concat(F.lpad(number, F.greatest(F.lit(3), F.length(number)), F.lit(" ")), F.lit(". "), mark(is_dir, "D"), mark(is_resource, "R"), mark(is_link, "L"), mark(encrypted, "E"), F.lit("- "), shown, F.lit(" "), N.compression_text(size, packed), F.lit("  "), F.rpad(F.coalesce(code, F.lit("----")), 4, " "), F.lit("  "), date, F.lit("  "), name, F.when(F.coalesce(is_dir, F.lit(False)), "/").otherwise(""))
 

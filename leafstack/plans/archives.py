@@ -27,9 +27,9 @@ def entry_index(spark, sf_dir):
     return entries(spark, sf_dir, "archive", "entry_id", "idx")
 
 
-@query("total_size_strict", f"with {ENTRIES} select archive, cast(case when count(*) = count(size) then coalesce(sum(size), 0) else -1 end as bigint) total from entries where idx < 20 group by 1")
+@query("total_size_strict", f"with {ENTRIES} select archive, cast(case when count(*) = count(size) then coalesce(sum(size), 0) else -1 end as bigint) total from entries group by 1")
 def total_size_strict(spark, sf_dir):
-    return entries(spark, sf_dir, "archive", "idx", "size").filter("idx < 20").groupBy("archive").agg(E.total().alias("total"))
+    return entries(spark, sf_dir, "archive", "size").groupBy("archive").agg(E.total().alias("total"))
 
 
 @query("total_size_all", f"with {ENTRIES}, v as (select archive, entry_id % 17 volume, size from entries) select archive, volume, cast(case when count(*) = count(size) then coalesce(sum(size), 0) else -1 end as bigint) total from v group by rollup (archive, volume)")

@@ -68,14 +68,12 @@ def unique_first(spark, sf_dir):
     return O.first_of_each(table(spark, sf_dir, "events").select("event_type", "user_id", "event_id"), ["event_type", "user_id"], "event_id").withColumnRenamed("event_id", "first_id")
 
 
-@query("activity_priority", "select user_id, m.event_id last_id, cast(row_number() over (order by m.ts desc, user_id) as bigint) place from (select user_id, max(struct_pack(ts := ts, event_id := event_id)) m from events where event_type = (select min(event_type) from events) group by 1) order by place limit 50")
+@query("activity_priority", "select event_type, user_id, m.event_id last_id, cast(row_number() over (order by m.ts desc, m.event_id) as bigint) place from (select event_type, user_id, max(struct_pack(ts := ts, event_id := event_id)) m from events group by all)")
 def activity_priority(spark, sf_dir):
-    """The 50 activities prioritised last, in order."""
+    """Every activity's place: an activity is what a user does of one kind, and each event moves its own to the front."""
     events = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
-    kind = events.agg(F.min("event_type").alias("kind"))
-    rows = events.join(F.broadcast(kind), F.col("event_type") == F.col("kind"))
-    last = rows.groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("m")).select("user_id", "m.ts", "m.event_id").orderBy(F.col("ts").desc(), "user_id").limit(50)
-    return last.select("user_id", F.col("event_id").alias("last_id"), F.expr("cast(row_number() over (order by ts desc, user_id) as bigint)").alias("place"))
+    last = events.groupBy("event_type", "user_id").agg(F.max(F.struct("ts", "event_id")).alias("m")).select("event_type", "user_id", "m.ts", "m.event_id")
+    return O.placed(last, "ts", "event_id").select("event_type", "user_id", F.col("event_id").alias("last_id"), "place")
 
 
 @query("activity_places", "select user_id, m.event_id last_id, cast(row_number() over (order by m.ts desc, user_id) as bigint) place from (select user_id, max(struct_pack(ts := ts, event_id := event_id)) m from events where event_type = (select min(event_type) from events) group by 1)")
@@ -206,9 +204,9 @@ def list_short(spark, sf_dir):
 _SHARE = "100 * (1 - cast(packed as double) / cast(nullif(size, 0) as double))"
 
 
-@query("list_long", f"with {ENTRIES} select archive, idx, concat(lpad(cast(idx as varchar), 3, ' '), '. ', case when is_dir then 'D' else '-' end, case when is_resource then 'R' else '-' end, case when is_link then 'L' else '-' end, case when encrypted then 'E' else '-' end, '- ', coalesce(lpad(cast(size as varchar), 11, ' '), ' ----------'), ' ', case when coalesce(size, 0) <> 0 and coalesce(packed, 0) <> 0 then case when {_SHARE} <= -100 then printf('%5.0f%%', {_SHARE}) else printf('%5.1f%%', {_SHARE}) end else ' -----' end, '  ', rpad('Defl', 4, ' '), '  ----------------  ', path, case when is_dir then '/' else '' end) line from entries where idx < 1000")
+@query("list_long", f"with {ENTRIES} select archive, idx, concat(lpad(cast(idx as varchar), cast(greatest(3, length(cast(idx as varchar))) as int), ' '), '. ', case when is_dir then 'D' else '-' end, case when is_resource then 'R' else '-' end, case when is_link then 'L' else '-' end, case when encrypted then 'E' else '-' end, '- ', coalesce(lpad(cast(size as varchar), cast(greatest(11, length(cast(size as varchar))) as int), ' '), ' ----------'), ' ', case when coalesce(size, 0) <> 0 and coalesce(packed, 0) <> 0 then case when {_SHARE} <= -100 then printf('%5.0f%%', {_SHARE}) else printf('%5.1f%%', {_SHARE}) end else ' -----' end, '  ', rpad('Defl', 4, ' '), '  ----------------  ', path, case when is_dir then '/' else '' end) line from entries")
 def list_long(spark, sf_dir):
-    """The long listing of all entries; indexes are three digits wide at least. The SQL stops at the thousandth entry of an archive."""
+    """The long listing of all entries; indexes are three digits wide at least."""
     rows = entries(spark, sf_dir, "archive", "idx", "is_dir", "is_resource", "is_link", "encrypted", "size", "packed", "path")
     c = F.col
     return rows.select("archive", "idx", E.long_line(c("idx"), c("is_dir"), c("is_resource"), c("is_link"), c("encrypted"), c("size"), c("packed"), F.lit("Defl"), N.best_date(F.lit(None).cast("timestamp")), c("path")).alias("line"))

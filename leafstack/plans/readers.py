@@ -153,11 +153,10 @@ def stream_events(spark, sf_dir):
     """Changes read as a stream, those of live subscriptions kept, and each target's changes of the run put together."""
     events = table(spark, sf_dir, "events")
     live = table(spark, sf_dir, "customer").select(c("c_custkey").alias("user_id"))
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    out = f"{S.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = S.routed(S.watch(spark, _watchable(sf_dir), events.schema), live, "user_id").selectExpr("user_id", f"{_FLAG} as flags")
-    S.run_to_end(stream, lambda batch, number: S.coalesced(batch, "user_id", "flags").write.mode("append").parquet(f"{out}/found"), f"{out}/state")
-    found = spark.read.schema("user_id long, flags int, n long").parquet(f"{out}/found")
+    S.run_to_end(stream, S.kept(f"{out}/found", lambda batch: S.coalesced(batch, "user_id", "flags")), f"{out}/state")
+    found = spark.read.schema("user_id long, flags int, n long, batch long").parquet(f"{out}/found")
     return found.groupBy("user_id").agg(F.bit_or("flags").alias("flags"), F.sum("n").alias("n"))
 
 

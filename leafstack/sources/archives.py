@@ -14,6 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafstack.operators.dispatch import SIGNATURES
+
+#: Formats of SIGNATURES that are read here.
+READ = {"Zip", "Tar", "Gzip", "Bzip2", "XZ", "LZMA"}
 SCHEMA = "idx int, path string, size long, packed long, method string, is_dir boolean, is_link boolean, target string, encrypted boolean, mode int, modified timestamp_ntz, crc32 long, verdict string"
 _METHODS = {0: "Stored", 8: "Deflate", 12: "Bzip2", 14: "LZMA"}
 _SINGLE = {b"\x1f\x8b\x08": ("Gzip", gzip.decompress), b"BZh": ("Bzip2", bz2.decompress), b"\xfd7zXZ\x00": ("XZ", lzma.decompress), b"]\x00\x00": ("LZMA", lzma.decompress)}
@@ -56,7 +60,11 @@ def _tar(data: bytes, test: bool) -> list[tuple]:
 
 
 def list_archive(data: bytes, name: str, test: bool = True, nested: bool = True) -> list[tuple]:
-    """Rows of SCHEMA for an archive's entries. One that holds a single archive gives that one's entries; unreadable data give none."""
+    """Rows of SCHEMA for an archive's entries. One that holds a single archive gives that one's entries.
+
+    An archive of a format that is recognised and can't be read is one row without a path and with the verdict
+    not_supported; broken archives and data of no known format give no rows.
+    """
     try:
         if zipfile.is_zipfile(io.BytesIO(data)):
             rows = _zip(data, test)
@@ -79,8 +87,19 @@ def list_archive(data: bytes, name: str, test: bool = True, nested: bool = True)
             checked = single[0] != "LZMA"
             return [(0, stem, len(body), len(data), single[0], False, False, None, False, None, None, zlib.crc32(body), ("ok" if checked else "no_checksum") if test else "not_tested")]
     except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, zlib.error, lzma.LZMAError, KeyError, RuntimeError, NotImplementedError):
-        pass
-    return []
+        return []
+    kind = recognised(data)
+    return [_whole(len(data), kind)] if kind and kind not in READ else []
+
+
+def recognised(data: bytes) -> str | None:
+    """The format that a signature tells."""
+    return next((kind for kind, at, code in SIGNATURES if data[at : at + len(code) // 2] == bytes.fromhex(code)), None)
+
+
+def _whole(size: int, kind: str) -> tuple:
+    """The row of an archive whose entries can't be read: it has no path."""
+    return (0, None, None, size, kind, False, False, None, False, None, None, None, "not_supported")
 
 
 def archive_entries(files: DataFrame, name: str = "path", content: str = "content", test: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -142,9 +143,11 @@ def refs(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
 
 
 def feed_items(feeds: DataFrame, key: str, xml: str) -> DataFrame:
-    """(key, pos, title, url) of media feeds: the root is rss, declares the media namespace and has one channel; others give nothing."""
+    """(key, pos, title, url) of media feeds: the root is rss, declares the media namespace, under whatever prefix, and has one channel; others give nothing."""
     schema = "channel array<struct<item: array<struct<title: string, `media:content`: struct<_url: string>>>>>"
-    parsed = feeds.filter(F.col(xml).rlike(r"(?s)^\s*(<\?xml.*?\?>)?\s*<rss[\s>]") & F.contains(F.col(xml), F.lit(MEDIA_NAMESPACE)))
-    parsed = parsed.select(key, F.from_xml(F.col(xml), schema, {"mode": "PERMISSIVE"}).alias("rss")).filter(F.size("rss.channel") == 1)
+    declared = rf"""(?s)^\s*(?:<\?xml.*?\?>)?\s*(?:<!--.*?-->\s*)*<rss\s(?:[^>]*\s)?xmlns:([\w.-]+)\s*=\s*["']{re.escape(MEDIA_NAMESPACE)}["']"""
+    prefix = F.regexp_extract(F.col(xml), declared, 1)
+    plain = F.regexp_replace(F.col(xml), F.concat(F.lit(r"(</?)\Q"), prefix, F.lit(r"\E:")), F.lit("$1media:"))
+    parsed = feeds.filter(prefix != "").select(key, F.from_xml(plain, schema, {"mode": "PERMISSIVE"}).alias("rss")).filter(F.size("rss.channel") == 1)
     items = parsed.select(key, F.posexplode(F.expr("rss.channel[0].item")).alias("pos", "item"))
     return items.select(key, F.col("pos").cast("long").alias("pos"), F.col("item.title").alias("title"), F.col("item.`media:content`._url").alias("url"))

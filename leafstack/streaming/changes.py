@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,19 @@ def coalesced(events: DataFrame, key: str, flags: str) -> DataFrame:
     return events.groupBy(key).agg(F.bit_or(flags).alias(flags), F.count("*").alias("n"))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share. Where the session names none: beside its warehouse, or a temporary folder if all runs on this machine."""
+    given = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not given and spark.sparkContext.master.startswith("local["):
+        given = f"{tempfile.gettempdir()}/checkpoints"
+    return (given or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints").rstrip("/")
+
+
+def kept(folder: str, make):
+    """For run_to_end(): write make(batch) under the batch's number, so that a batch done again takes its own place."""
+    return lambda batch, number: make(batch).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+
 def run_to_end(stream: DataFrame, each, checkpoint: str) -> None:
-    """Hand all that is there to each(batch, number), a batch at a time, and stop. Batches that were done before a restart aren't done again."""
+    """Hand all that is there to each(batch, number), a batch at a time, and stop. A batch that a restart interrupted is done again, under the same number."""
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

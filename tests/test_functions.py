@@ -101,7 +101,7 @@ def test_runs(spark):
 
 
 def merged(rows):
-    """Sequential model: only the latest entry of a name can be completed."""
+    """Step by step: only the latest entry of a name can be completed."""
     latest, out = {}, []
     for i, (name, resource) in enumerate(rows):
         e = latest.get(name)
@@ -228,6 +228,7 @@ def test_orientation(spark):
 
 
 def test_codes():
+    assert [C.plain_code(x) for x in ("Method 0", "Method 1", "Quantum:07", "Quantum:7", "Fast v2.0", "Fast v3.0")] == ["Meth", "Mth1", "Quan", "Qua7", "Fs20", "Fast"]
     names = ["Deflate64", "Quantum:7", "Quantum:31", "Quantum:32", "LZX:4", "Method 16", "Fast v2.0", "-lh5-", "-lh0-", "Stored", "Stored again", "None", "Store"]
     assert list(C.short_codes(names).values()) == ["Df64", "Qua7", "Qu31", "Quan", "LZX4", "Mt16", "Fs20", "lh5", "None", "Stor", "Sto2", "Non2", "Sto3"]
 
@@ -285,3 +286,43 @@ def test_every_signature_is_met(spark, sf_dir):
     from leafstack.plans import archives
 
     assert {r.format for r in archives.detect_format_all(spark, sf_dir).collect()} == {n for n, _, _ in D.SIGNATURES} | {None}
+
+
+def test_long_numbers_in_names(spark):
+    names = ["a2", "a1" + "0" * 21, "a1" + "0" * 20, "a" + "0" * 30 + "3", "a10", "a01", "b", "a"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r.n for r in df.orderBy(T.natural_key(F.col("n")), "n").collect()]
+    assert got == ["a", "a01", "a2", "a" + "0" * 30 + "3", "a10", "a1" + "0" * 20, "a1" + "0" * 21, "b"]
+
+
+def test_long_lines_are_whole(spark):
+    rows = spark.createDataFrame([(7, 12), (1000, 123456789012345), (1234567, None)], "i int, s long")
+    c = F.col
+    lines = [r.x for r in rows.select(E.long_line(c("i"), F.lit(False), F.lit(False), F.lit(False), F.lit(False), c("s"), F.lit(None).cast("long"), F.lit("Defl"), F.lit("d"), F.lit("n")).alias("x")).collect()]
+    assert lines[0].startswith("  7. ") and lines[1].startswith("1000. ") and "123456789012345 " in lines[1] and lines[2].startswith("1234567. ")
+
+
+def test_feeds_with_any_prefix(spark):
+    feed = '<rss xmlns:m="http://search.yahoo.com/mrss/"><channel><item><title>t</title><m:content url="u"/></item></channel></rss>'
+    other = '<rss><!-- http://search.yahoo.com/mrss/ --><channel><item><title>t</title></item></channel></rss>'
+    df = spark.createDataFrame([(0, feed), (1, other)], "i int, x string")
+    assert [tuple(r) for r in P.feed_items(df, "i", "x").collect()] == [(0, 0, "t", "u")]
+
+
+def test_archives_that_cannot_be_read_have_a_verdict():
+    for head, kind in ((b"Rar!\x1a\x07\x00", "RAR"), (b"7z\xbc\xaf\x27\x1c", "7-Zip"), (b"MSCF", "CAB"), (b"x1-lh5-", "LZH")):
+        rows = A.list_archive(head + bytes(600), "f/x.bin")
+        assert [(r[0], r[1], r[4], r[-1]) for r in rows] == [(0, None, kind, "not_supported")]
+    assert A.list_archive(b"PK\x03\x04" + bytes(100), "x.zip") == []
+    assert A.list_archive(b"just text", "x.txt") == []
+
+
+def test_a_batch_done_again_counts_once(spark, tmp_path):
+    from leafstack.streaming import changes as S
+
+    batch = spark.createDataFrame([(1, 2), (1, 4), (3, 8)], "user_id long, flags int")
+    put = S.kept(str(tmp_path / "found"), lambda b: S.coalesced(b, "user_id", "flags"))
+    for number in (0, 1, 1, 0):
+        put(batch, number)
+    found = spark.read.parquet(str(tmp_path / "found"))
+    assert sorted((r.batch, r.user_id, r.flags, r.n) for r in found.collect()) == [(0, 1, 6, 2), (0, 3, 8, 1), (1, 1, 6, 2), (1, 3, 8, 1)]
