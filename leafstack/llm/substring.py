@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafstack.llm.common import BROADCAST_BYTES, HOT_KEYS, chunks, cut, drop_cut, free, run_hashes, small, text_buffers, whole_key, word_hashes, word_spans
+from leafstack.llm.common import BROADCAST_BYTES, HOT_KEYS, chunks, cut, drop_cut, free, run_hashes, text_buffers, whole_key, word_hashes, word_spans
 
 #: Words whose hash can be a window's sketch; the sketch is the least hash among those in the window.
 GRAM = 4
@@ -155,24 +155,25 @@ def _round(spans: DataFrame, n: int, whole: bool) -> DataFrame:
     Returns (doc, version, start, n, text): matched words (text null), or runs of windows that didn't match, as spans.
     """
     spark = spans.sparkSession
-    rows = _sketches(spans, n, whole)
-    shared = rows.groupBy("key").agg(F.min("doc").alias("first"), F.min_by("block", "doc").alias("block"), F.max("doc").alias("last"), F.count("*").alias("n")).filter("first < last").select("key", "first", "block", "n")
+    rows = _sketches(spans, n, whole).select("key", "doc")
+    shared = rows.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).filter("first < last").select("key", "first", "n")
     shared = cut(shared, "substring-keys")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     refs, uses = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = max(4 * tasks, refs * (n - GRAM) // SHARD_WORDS + 1)
     share = max(SHARE, uses // (2 * tasks))
-    placed = shared.select("key", "first", "n", F.pmod(F.xxhash64("first", "block"), F.lit(shards)).alias("shard"))
+    # only a document of so many bytes has windows beyond its first SHARD_WORDS words; a key that is there goes to the first such block
+    later = _sketches(spans.filter(F.col("start") + F.octet_length("text") / 2 >= SHARD_WORDS), n, whole).filter("block > 0")
+    blocks = cut(later.groupBy("key", F.col("doc").alias("first")).agg(F.min("block").alias("block")), "substring-blocks")
+    placed = shared.withColumn("block", F.lit(0)) if blocks.isEmpty() else shared.join(blocks, ["key", "first"], "left").withColumn("block", F.coalesce("block", F.lit(0)))
+    placed = placed.select("key", "first", "n", F.pmod(F.xxhash64("first", "block"), F.lit(shards)).alias("shard"))
     full = placed.groupBy("shard").agg(F.sum("n").alias("n")).filter(F.col("n") > share).collect()  # at most uses / share of them
     salts = spark.sparkContext.broadcast({r.shard: -(-r.n // share) for r in full})
-    rows, placed = rows.select("key", "doc"), placed.select("key", "first", "shard", "n")
-    if small(shared, 40):
-        met = rows.join(F.broadcast(placed.drop("n")), "key")
-    else:  # keys of many rows, at most HOT_KEYS, meet them by broadcast; their rows are then dealt by document
-        often = F.broadcast(placed.filter(F.col("n") > uses // HOT_KEYS).select("key", F.col("first").alias("f"), F.col("shard").alias("s")))
-        dealt = rows.join(often, "key", "left").select(F.when(F.col("f").isNull(), F.col("key")).otherwise(F.xxhash64("doc")).alias("dealt"), F.col("f").isNull().alias("rest"), "key", "doc", "f", "s")
-        rest = placed.filter(F.col("n") <= uses // HOT_KEYS).select(F.col("key").alias("dealt"), F.lit(True).alias("rest"), "first", "shard")
-        met = dealt.join(rest, ["dealt", "rest"], "left").select("key", "doc", F.coalesce("f", "first").alias("first"), F.coalesce("s", "shard").alias("shard")).filter("first is not null")
+    # keys of many rows, at most HOT_KEYS, meet them by broadcast; all other rows are dealt by key
+    most = uses // HOT_KEYS
+    hot = F.broadcast(placed.filter(F.col("n") > most).select("key", "first", "shard"))
+    cold = rows.join(hot.select("key"), "key", "left_anti").join(placed.filter(F.col("n") <= most).select("key", "first", "shard"), "key")
+    met = rows.join(hot, "key").unionByName(cold)
     code = F.col("shard") * 2 + (F.col("first") != F.col("doc")).cast("int")
     hits = met.groupBy("doc").agg(F.collect_set(F.struct("key", code.alias("code"))).alias("hits"))  # of one document
     hits = hits.select("doc", F.transform("hits", lambda x: x.key).alias("keys"), F.transform("hits", lambda x: x.code).alias("codes"))
