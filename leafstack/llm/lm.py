@@ -194,7 +194,7 @@ def start(share: np.ndarray) -> dict[str, np.ndarray]:
 def tables(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """The parameters, and queries, keys and values of each input: inputs are few, so they are worked out once."""
     out = p | {"eq": p["e"] @ p["q"] * SCALE, "ek": p["e"] @ p["k"], "ev": p["e"] @ p["v"]}
-    out["ones"], out["ones_of_rows"] = np.ones(CLASSES), np.ones(BATCH * STRIDE)
+    out["ones"] = np.ones(CLASSES)
     out["kv"] = np.concatenate([p["k"].T, p["v"].T])
     out["mask"] = np.where(DISTANCE >= 0, p["r"][np.maximum(DISTANCE, 0)], -1e9)
     out = {k: v.astype(np.float32) for k, v in out.items()}
@@ -229,19 +229,24 @@ def windows_of(n: np.ndarray, inputs: np.ndarray, targets: np.ndarray) -> tuple[
     return x, want.reshape(-1, STRIDE), text
 
 
+def across(x: np.ndarray) -> np.ndarray:
+    """Each window's matrix lying across, laid out anew: products with it are far quicker than with a turned view."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
 def forward(t: dict[str, np.ndarray], x: np.ndarray):
     """exp of each class's logit for each target, the logits' own and total, and what is needed to go back. Logits over MOST count as that."""
     xq = x[:, WINDOW - STRIDE :]
-    k, v = t["ek"].take(x, 0), t["ev"].take(x, 0)
-    s = t["eq"].take(xq, 0) @ k.transpose(0, 2, 1)
+    k, v, q = t["ek"].take(x, 0), t["ev"].take(x, 0), t["eq"].take(xq, 0)
+    s = q @ across(k)
     s += t["mask"]
     a = np.exp(s if t["near"] else np.minimum(s, MOST, out=s), out=s)
     a *= (1 / ((a.reshape(-1, WINDOW) @ t["ones"][:WINDOW]) + LEAST)).reshape(*a.shape[:2], 1)
     h = a @ v
     h += t["e"].take(xq, 0)
-    z = h.reshape(-1, WIDTH) @ t["u"].T
+    z = h.reshape(-1, WIDTH) @ np.ascontiguousarray(t["u"].T)
     z += t["b"]
-    return (z if t["low"] else np.minimum(z, MOST, out=z)), (xq, k, v, a, h)
+    return (z if t["low"] else np.minimum(z, MOST, out=z)), (xq, k, v, q, a, h)
 
 
 def log_probabilities(t: dict[str, np.ndarray], x: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -259,35 +264,50 @@ def nothing() -> dict[str, np.ndarray]:
 
 
 def gradient(t: dict[str, np.ndarray], x: np.ndarray, targets: np.ndarray, total: dict[str, np.ndarray]) -> int:
-    """Add the gradients of the loss (in natural logarithms) with respect to the parameters to total; the number of targets."""
+    """Add the gradients of the loss (in natural logarithms) with respect to the parameters to total; the number of targets.
+
+    Windows are worked on BATCH at once; the gradients of their inputs are summed by input for all of them together.
+    """
     x = x.astype(np.intp)
-    z, (xq, k, v, a, h) = forward(t, x)
+    of_inputs = np.empty((WIDTH, x.size))
+    for at in range(0, len(x), BATCH):
+        part = x[at : at + BATCH]
+        of_inputs[:, at * WINDOW : at * WINDOW + part.size] = _back(t, part, targets[at : at + BATCH], total).T
+    for place, weights in zip(total["e"], of_inputs, strict=True):
+        place += np.bincount(x.ravel(), weights=weights, minlength=KNOWN)
+    return int(np.count_nonzero(targets >= 0))
+
+
+def _back(t: dict[str, np.ndarray], x: np.ndarray, targets: np.ndarray, total: dict[str, np.ndarray]) -> np.ndarray:
+    """Add the gradients of all parameters but the inputs' to total; those with respect to each place's input."""
+    z, (xq, k, v, q, a, h) = forward(t, x)
     y = targets.ravel()
-    live, line, y = y >= 0, np.arange(len(y)), np.maximum(y, 0)
+    live, line = y >= 0, np.arange(len(y))
     p = np.exp(z, out=z)
-    p *= (live / (p @ t["ones"] + LEAST)).astype(p.dtype)[:, None]
-    p[line, y] -= live
-    flat = h.reshape(-1, WIDTH)
-    dh = (p @ t["u"]).reshape(h.shape)
-    da = dh @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dh
+    own = (p @ t["ones"]) + LEAST
+    p[line, np.maximum(y, 0)] -= own  # what follows is weighted, so that p needn't be divided by its sums
+    weight = (live / own).astype(p.dtype)[:, None]
+    flat = h.reshape(-1, WIDTH) * weight
+    dh = ((p @ t["u"]) * weight).reshape(h.shape)
+    da = dh @ across(v)
     da -= np.einsum("ijk,ijk->ij", a, da)[:, :, None]
     da *= a
-    q = t["eq"].take(xq, 0)  # holds SCALE, as dk has to
-    dq, dkv = (da @ k).reshape(-1, WIDTH) * SCALE, np.concatenate([da.transpose(0, 2, 1) @ q, dv], 2).reshape(-1, 2 * WIDTH)
+    dkv = np.empty((*x.shape, 2 * WIDTH), p.dtype)
+    np.matmul(da.transpose(0, 2, 1), q, out=dkv[:, :, :WIDTH])  # q holds SCALE, as this has to
+    np.matmul(a.transpose(0, 2, 1), dh, out=dkv[:, :, WIDTH:])
+    dkv = dkv.reshape(-1, 2 * WIDTH)
+    dq = (da @ k).reshape(-1, WIDTH) * SCALE
+    dx = (dkv @ t["kv"]).reshape(*x.shape, WIDTH)
+    dx[:, WINDOW - STRIDE :] += dh + (dq @ np.ascontiguousarray(t["q"].T)).reshape(dh.shape)
     e, eq = t["e"].take(x, 0).reshape(-1, WIDTH), t["e"].take(xq, 0).reshape(-1, WIDTH)
-    dx = (t["kv"].T @ dkv.T).reshape(WIDTH, *x.shape)
-    dx[:, :, WINDOW - STRIDE :] += (dh.reshape(-1, WIDTH).T + t["q"] @ dq.T).reshape(WIDTH, *xq.shape)
-    for place, weights in zip(total["e"], dx.reshape(WIDTH, -1), strict=True):
-        place += np.bincount(x.ravel(), weights=weights, minlength=KNOWN)
     total["q"] += eq.T @ dq
     dkv = e.T @ dkv
     total["k"] += dkv[:, :WIDTH]
     total["v"] += dkv[:, WIDTH:]
     total["u"] += (flat.T @ p).T
-    total["b"] += t["ones_of_rows"][: len(p)] @ p
+    total["b"] += weight[:, 0] @ p
     total["r"] += np.bincount(_FAR, weights=da.sum(0).ravel() * _SEEN, minlength=WINDOW)
-    return int(live.sum())
+    return dx.reshape(-1, WIDTH)
 
 
 class Adam:
@@ -333,8 +353,8 @@ def train(sequences: DataFrame, numbering: Numbering, attention: bool = True) ->
             g, seen = nothing(), 0
             for batch in batches:
                 for _, _, (x, targets, _), _, _ in _windows(batch, numbering):
-                    for at in range(0, len(x), BATCH):
-                        seen += gradient(t, x[at : at + BATCH], targets[at : at + BATCH], g)
+                    for at in range(0, len(x), 8 * BATCH):
+                        seen += gradient(t, x[at : at + 8 * BATCH], targets[at : at + 8 * BATCH], g)
             if seen:
                 total = np.concatenate([*((x.T if k == "e" else x).ravel() for k, x in g.items()), [seen]])
                 at = np.flatnonzero(total)
