@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 
 from leafstack.llm import lm as L
 from leafstack.llm.bpe import Codec
@@ -194,3 +195,11 @@ def test_every_text_trains(spark):
     for step in (0, 7, L.STEPS - 1):
         rows = spark.createDataFrame([(step, np.array([5, 6, 7, 99], "<u2").tobytes())], "step int, pieces binary")
         assert np.any(L.train(rows, numbering)["u"])
+
+
+@pytest.mark.xfail(strict=True, reason="the base isn't a distribution: any unseen word costs it 1/(N + V + 1), the model pays for the word's spelling")
+def test_better_than_the_base_on_held_out_texts(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    got = [r for r in check(spark, rows) if r.held_out]
+    assert got
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
