@@ -127,8 +127,11 @@ def _keys(data: np.ndarray, offsets: np.ndarray, n: int, whole: bool):
     return starts, ends, at, first, owner, keys[first]
 
 
-def _sketches(spans: DataFrame, n: int, whole: bool) -> DataFrame:
-    """(key, doc, block) for the windows of each span; runs of equal keys once. block: which SHARD_WORDS of the document the window begins in."""
+def _sketches(spans: DataFrame, n: int, whole: bool, without=None) -> DataFrame:
+    """(key, doc, block) for the windows of each span; runs of equal keys once. block: which SHARD_WORDS of the document the window begins in.
+
+    without: a broadcast of keys, in order, whose rows are left out.
+    """
 
     def work(batches):
         for batch in batches:
@@ -139,6 +142,9 @@ def _sketches(spans: DataFrame, n: int, whole: bool) -> DataFrame:
                 _, _, at, first, owner, keys = _keys(data[part[0] : part[-1]], part - part[0], n, whole)
                 if len(keys):
                     new = np.r_[True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])]
+                    if without is not None and len(known := without.value):
+                        long = keys.view(np.int64)
+                        new &= known[np.minimum(np.searchsorted(known, long), len(known) - 1)] != long
                     owner = owner[new]
                     block = (start[a:b][owner] + first[new] - at[owner]) // SHARD_WORDS
                     yield pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64)), pa.array(doc[a:b][owner]), pa.array(block.astype(np.int32))], names=["key", "doc", "block"])
@@ -169,10 +175,11 @@ def _round(spans: DataFrame, n: int, whole: bool) -> DataFrame:
     placed = placed.select("key", "first", "n", F.pmod(F.xxhash64("first", "block"), F.lit(shards)).alias("shard"))
     full = placed.groupBy("shard").agg(F.sum("n").alias("n")).filter(F.col("n") > share).collect()  # at most uses / share of them
     salts = spark.sparkContext.broadcast({r.shard: -(-r.n // share) for r in full})
-    # keys of many rows, at most HOT_KEYS, meet them by broadcast; all other rows are dealt by key
+    # keys of many rows, fewer than HOT_KEYS, meet them by broadcast; all other rows are dealt by key
     most = uses // HOT_KEYS
     hot = F.broadcast(placed.filter(F.col("n") > most).select("key", "first", "shard"))
-    cold = rows.join(hot.select("key"), "key", "left_anti").join(placed.filter(F.col("n") <= most).select("key", "first", "shard"), "key")
+    often = spark.sparkContext.broadcast(np.sort(np.array([r.key for r in shared.filter(F.col("n") > most).select("key").collect()], np.int64)))
+    cold = _sketches(spans, n, whole, often).select("key", "doc").join(placed.filter(F.col("n") <= most).select("key", "first", "shard"), "key")
     met = rows.join(hot, "key").unionByName(cold)
     code = F.col("shard") * 2 + (F.col("first") != F.col("doc")).cast("int")
     hits = met.groupBy("doc").agg(F.collect_set(F.struct("key", code.alias("code"))).alias("hits"))  # of one document

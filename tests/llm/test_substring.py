@@ -97,6 +97,25 @@ def test_shuffled_way(spark, monkeypatch):
     assert run(spark, rows, 13) == brute(rows, 13)
 
 
+@pytest.mark.parametrize("hot_keys", [20, 20_000])
+def test_joins_make_rows_of_shared_keys_only(spark, monkeypatch, hot_keys):
+    """Whether keys are broadcast or dealt, no join puts out the rows of keys that one document has alone."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(S, "HOT_KEYS", hot_keys)
+    passage = " ".join(f"p{i}" for i in range(40))
+    pairs = [" ".join(f"q{k}x{i}" for i in range(30)) for k in range(40)]
+    rows = [(k, " ".join(f"a{k}x{i}" for i in range(100)) + f" {pairs[k % 40]} b{k} {passage} c{k}") for k in range(80)]
+    spans = spark.createDataFrame(rows, "doc long, text string").select("doc", F.lit(0).cast("long").alias("version"), F.lit(0).cast("long").alias("start"), F.col("text").cast("binary").alias("text"))
+    done = S._round(spans, 13, False)
+    assert "LeftAnti" not in done._jdf.queryExecution().optimizedPlan().toString()
+    keys = [r.key for r in S._sketches(spans, 13, False).collect()]
+    often = sorted({k for k in keys if keys.count(k) > 40})
+    left = [r.key for r in S._sketches(spans, 13, False, spark.sparkContext.broadcast(S.np.array(often, S.np.int64))).collect()]
+    assert often and sorted(left) == sorted(k for k in keys if k not in often)
+    assert run(spark, rows, 13) == brute(rows, 13)
+
+
 def test_names_and_keys(spark):
     rows = spark.createDataFrame([(1, "a b c d", 5, 6), (2, "a b c d", 7, 8)], "doc_id long, text string, __spans int, __doc int")
     got = sorted(map(tuple, S.remove_repeats(rows, 3).collect()))
