@@ -18,8 +18,8 @@ from leafstack.llm.common import chunks
 
 #: Words whose ids are kept; when there are more, the memory starts anew.
 CACHE_WORDS = 400_000
-#: Characters of text that are encoded together.
-STEP = 2_000_000
+#: Characters of text that are encoded together, and rows whose results are put out together: they bound what a task holds beside its batch.
+STEP, ROWS = 1_000_000, 1000
 #: Words of more bytes are merged by a heap.
 LONG_WORD = 128
 NO_RANK = 1 << 60
@@ -247,16 +247,18 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep:
         codec = None
         for batch in batches:
             codec = codec or Codec(json.loads(spec.value))
-            made: dict[str, list] = {c: [] for c in outputs}
-            texts = [x or "" for x in batch.column(len(keep)).to_pylist()]
-            ends = np.cumsum([0, *map(len, texts)])
-            for first, end in chunks(ends, STEP):
-                for raw in codec.encode_all(texts[first:end]):
-                    ids = np.frombuffer(raw, "<u4")
-                    if "decoded" in made or "decoded_sha256" in made:
-                        decoded = codec.decode(ids.tolist())
-                    for c in outputs:
-                        made[c].append(ids.astype(np.int32) if c == "ids" else decoded if c == "decoded" else len(ids) if c == "n_tokens" else hashlib.sha256(raw if c == "ids_sha256" else decoded.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(made[c], types[c]) for c in outputs]], names=[*batch.schema.names[: len(keep)], *outputs])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                made: dict[str, list] = {c: [] for c in outputs}
+                texts = [x or "" for x in part.column(len(keep)).to_pylist()]
+                ends = np.cumsum([0, *map(len, texts)])
+                for first, end in chunks(ends, STEP):
+                    for raw in codec.encode_all(texts[first:end]):
+                        ids = np.frombuffer(raw, "<u4")
+                        if "decoded" in made or "decoded_sha256" in made:
+                            decoded = codec.decode(ids.tolist())
+                        for c in outputs:
+                            made[c].append(ids.astype(np.int32) if c == "ids" else decoded if c == "decoded" else len(ids) if c == "n_tokens" else hashlib.sha256(raw if c == "ids_sha256" else decoded.encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *[pa.array(made[c], types[c]) for c in outputs]], names=[*part.schema.names[: len(keep)], *outputs])
 
     return given.mapInArrow(work, schema)

@@ -63,3 +63,11 @@ def test_rows(spark, sf_dir, both):
         ids = both[1].encode(r.text, add_special_tokens=False).ids
         assert r.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(both[1].decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_rows_in_parts(spark, both, monkeypatch):
+    """A batch's rows are encoded a part at a time, which changes nothing."""
+    monkeypatch.setattr(bpe, "ROWS", 7)
+    rows = [(k, None if k % 10 == 3 else f"Text {k} of many " * (k % 5)) for k in range(60)]
+    got = bpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), PATH, outputs=("ids", "n_tokens")).collect()
+    assert [(r.doc_id, r.ids, r.n_tokens) for r in sorted(got)] == [(k, ids := both[1].encode(t or "", add_special_tokens=False).ids, len(ids)) for k, t in rows]
