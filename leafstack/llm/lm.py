@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafstack.llm.bpe import Codec, byte_letters
+from leafstack.llm.bpe import LONG_WORD, Codec, byte_letters
 from leafstack.llm.common import chunks, cut, drop_cut, lower_ascii, text_buffers, word_hashes, word_spans
 
 #: Pieces that the model knows, as inputs: 0 is the end (and what stands before a text), then the commonest pieces, then kinds of the others.
@@ -26,6 +26,8 @@ BATCH = 96
 STEPS, RATE = 32, 0.05
 #: Commonest words whose counts every task holds (16 bytes each); other words meet their counts by a join.
 HOT_WORDS = 200_000
+#: Upper bits of a word's hash by which its place among the common ones is looked up.
+FIRST_BITS = 18
 #: Text bytes that are cut into pieces at once, and sequences bytes that one task trains on, about.
 PIECE_BYTES, TASK_BYTES = 1 << 20, 4 << 20
 
@@ -75,14 +77,29 @@ def commonest(counts: DataFrame) -> DataFrame:
     return counts.filter(F.col("n") >= least if least is not None else F.lit(False)).select("word", "n")
 
 
-def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of keys in a sorted table, or -1."""
+def _find(table: np.ndarray, keys: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+    """Places of keys in a sorted table, or -1. first: what _firsts() gives for the table, which makes it quicker."""
     if not len(table):
         return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    if first is None:
+        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    else:
+        at, last = first[keys >> np.uint64(64 - FIRST_BITS)], len(table) - 1
+        rest = np.flatnonzero((table[at] < keys) & (at < last))
+        while len(rest):
+            at[rest] += 1
+            rest = rest[(table[at[rest]] < keys[rest]) & (at[rest] < last)]
     return np.where(table[at] == keys, at, -1)
 
 
+def _firsts(table: np.ndarray) -> np.ndarray | None:
+    """Where in a sorted table of hashes those with each value of their FIRST_BITS upper bits begin; None if many have the same."""
+    bounds = np.searchsorted(table, np.arange(1 << FIRST_BITS, dtype=np.uint64) << np.uint64(64 - FIRST_BITS))
+    if not len(table) or np.diff(bounds, append=len(table)).max() > 32:
+        return None
+    return np.minimum(bounds, len(table) - 1)
+
+
 # --- pieces ----------------------------------------------------------------------------------------------------------
 
 
@@ -94,6 +111,96 @@ class Hot:
     logs: np.ndarray
 
 
+class Merges:
+    """The merges of a codec for many words at once, which stand one after another in one array. The ids are those of merge_raw().
+
+    Ranks of pairs are in a table by hash, with linear probing; an entry is the pair (16 bits for each part) and its rank (24 bits).
+    """
+
+    NONE, FREE, FACTOR = 1 << 30, -1 << 60, np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, codec: Codec):
+        self.codec, pairs = codec, codec.pairs[:-1]
+        bits = max(8, int(len(pairs) * 2).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.table = np.full(1 << bits, self.FREE, np.int64)
+        keys = pairs >> 32 << 16 | pairs & 0xFFFF
+        entries, slots = keys << 24 | codec.pair_ranks[:-1], self._slots(keys)
+        while len(entries):
+            self.table[slots] = np.where(free := self.table[slots] == self.FREE, entries, self.table[slots])
+            left = ~free | (self.table[slots] != entries)  # of several that want one slot, one has it
+            entries, slots = entries[left], slots[left] + 1 & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * self.FACTOR >> self.shift).view(np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 16 | right
+        slots = self._slots(keys)
+        found = self.table[slots]
+        own = found >> 24
+        out = np.where(own == keys, found & 0xFFFFFF, self.NONE)
+        rest = np.flatnonzero((own != keys) & (found != self.FREE))
+        slots = slots[rest]
+        while len(rest):
+            slots = slots + 1 & self.mask
+            found = self.table[slots]
+            hit = found >> 24 == keys[rest]
+            out[rest[hit]] = found[hit] & 0xFFFFFF
+            on = ~hit & (found != self.FREE)
+            rest, slots = rest[on], slots[on]
+        return out
+
+    def __call__(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of the words (none is empty) that start and end there, one after another, and how many each word has."""
+        length = ends - starts
+        size, done = np.zeros(len(length), np.int32), []  # done: words, and their pieces one after another
+        for k in np.flatnonzero(length > LONG_WORD).tolist():
+            ids = np.frombuffer(self.codec.merge_raw([low[starts[k] : ends[k]].tobytes()])[0], "<u4")
+            size[k] = len(ids)
+            done.append((np.array([k]), ids.astype(np.uint16)))
+        which = np.flatnonzero(length <= LONG_WORD)
+        n = length[which]
+        end = np.cumsum(n)
+        symbols = low[np.repeat(starts[which] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        parts = self.codec.first[symbols]
+        parts[end - 1] = self.codec.last[symbols[end - 1]]
+        at = np.append(self.ranks(parts[:-1], parts[1:]), self.NONE) if len(parts) else np.zeros(0, np.int64)
+        at[end - 1] = self.NONE
+        while len(which):
+            first = end - n
+            lowest = np.minimum.reduceat(at, first)
+            if not (live := lowest != self.NONE).all():
+                inside, ended = np.repeat(live, n), which[~live]
+                ids, owner = parts[~inside], np.repeat(np.arange(len(ended)), n[~live])
+                size[ended] = np.bincount(owner[ids >= 0], minlength=len(ended))  # symbols outside the vocabulary give no piece
+                done.append((ended, ids[ids >= 0].astype(np.uint16)))
+                which, n, lowest, parts, at = which[live], n[live], lowest[live], parts[inside], at[inside]
+                if not len(which):
+                    break
+                end = np.cumsum(n)
+                first = end - n
+            place = np.flatnonzero(at == np.repeat(lowest, n))
+            place = place[np.searchsorted(place, first)]  # each word's first pair of its lowest rank
+            parts[place] = self.codec.made[lowest]
+            kept = np.ones(len(parts), bool)
+            kept[place + 1] = False
+            parts, at = parts[kept], at[kept]
+            gone = np.arange(len(which))
+            place, first = place - gone, first - gone
+            n = n - 1
+            end = end - gone - 1
+            at[place] = self.NONE
+            right, left = place[place + 1 < end], place[place > first]
+            at[right] = self.ranks(parts[right], parts[right + 1])
+            at[left - 1] = self.ranks(parts[left - 1], parts[left])
+        out, before = np.zeros(int(size.sum()), np.uint16), np.cumsum(size) - size
+        for words, ids in done:
+            n = size[words]
+            out[np.repeat(before[words] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return out, size
+
+
 @dataclass
 class Pieces:
     """Cuts words into pieces of a public vocabulary. Pieces of common words are remembered; others are cut once in each chunk."""
@@ -104,16 +211,16 @@ class Pieces:
     used: int = 0
 
     def __post_init__(self):
+        self.merges, self.firsts = Merges(self.codec), _firsts(self.hot.words)
         self.first, self.size = np.full(len(self.hot.words), -1, np.int32), np.zeros(len(self.hot.words), np.int32)
 
     def _put(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the pieces of these words now are in flat, and how many."""
-        made = self.codec.merge_raw([low[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-        size = np.array([len(x) // 4 for x in made], np.int32)
-        total = int(size.sum())
+        made, size = self.merges(low, starts, ends)
+        total = len(made)
         if self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(total, len(self.flat)), np.uint16)])
-        self.flat[self.used : self.used + total] = np.frombuffer(b"".join(made), "<u4")
+        self.flat[self.used : self.used + total] = made
         first = self.used + np.cumsum(size) - size
         self.used += total
         return first.astype(np.int32), size
@@ -400,7 +507,7 @@ def sequences_of(given: DataFrame, hot: Hot, spec: str, end: int) -> DataFrame:
         for batch in batches:
             cutter = cutter or Pieces(Codec(json.loads(both.value[0])), both.value[1])
             for a, b, low, starts, ends, at, hashes in _parts(batch, "text", PIECE_BYTES):
-                n, place = np.diff(at), _find(cutter.hot.words, hashes)
+                n, place = np.diff(at), _find(cutter.hot.words, hashes, cutter.firsts)
                 doc, seen = np.repeat(np.arange(b - a), n), place >= 0
                 logs = np.bincount(doc, weights=np.where(seen, cutter.hot.logs[place] if len(cutter.hot.logs) else 0, 0), minlength=b - a)
                 flat, size = cutter.cut(low, starts, ends, hashes, place)
@@ -482,7 +589,7 @@ def score_texts(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str
     weight = rows.filter("not held_out").agg(F.coalesce(F.sum(F.octet_length("pieces")), F.lit(0))).first()[0]
     parts = max(4, int(weight // (STEPS * TASK_BYTES)) + 1)
     dealt = rows.filter("not held_out").select("step", "pieces", F.pmod(F.xxhash64("row"), F.lit(parts)).alias("part"))
-    dealt = cut(dealt.repartition(STEPS * parts, "step", "part").sortWithinPartitions("step"), "lm-steps")
+    dealt = cut(dealt.repartition(STEPS * parts, "step", "part").sortWithinPartitions("step"), "lm-steps", by=("step",))
     model = train(dealt, numbering)
     drop_cut(dealt)
     ready = spark.sparkContext.broadcast((tables(model), numbering))

@@ -1,6 +1,7 @@
 import json
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -117,6 +118,65 @@ def test_pieces_cover_words():
                 assert flat.astype("<u4").tobytes() == b"".join(want) and size.tolist() == [len(x) // 4 for x in want]
 
 
+def test_merges_are_those_of_the_codec_in_less_time():
+    """Words of all lengths and bytes; common words of a text are few, so rare ones decide what cutting costs."""
+    codec = Codec(json.load(open(VOCABULARY)))
+    rng = random.Random(3)
+    words = ["".join(rng.choices("aaeeiou-1bcdfghlmnprst", k=rng.randrange(1, 15))).encode() for _ in range(20_000)]
+    words += [bytes(rng.choices(range(256), k=rng.randrange(1, 40))) for _ in range(2000)] + [b"ab" * n for n in (64, 65, 300)]
+    rng.shuffle(words)
+    low, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    starts, merges, seconds = ends - [len(w) for w in words], L.Merges(codec), ([], [])
+    for _ in range(3):
+        began = time.process_time()
+        flat, size = merges(low, starts, ends)
+        seconds[0].append(time.process_time() - began)
+        began = time.process_time()
+        want = codec.merge_raw(words)
+        seconds[1].append(time.process_time() - began)
+        assert flat.astype("<u4").tobytes() == b"".join(want) and size.tolist() == [len(x) // 4 for x in want]
+    assert min(seconds[0]) < 0.6 * min(seconds[1])
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in merges(low, none, none)] == [0, 0]
+
+
+def test_symbols_outside_the_vocabulary():
+    spec = json.load(open(VOCABULARY))
+    for letter in ("q", "q</w>"):
+        del spec["model"]["vocab"][letter]
+    spec["model"]["merges"] = [m for m in spec["model"]["merges"] if "q" not in "".join(m)]
+    codec, words = Codec(spec), [b"q", b"the", b"aqua", b"qqq", b"thq", b"q" * 200]
+    ends = np.cumsum([len(w) for w in words])
+    flat, size = L.Merges(codec)(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends)
+    want = codec.merge_raw(words)
+    assert flat.astype("<u4").tobytes() == b"".join(want) and size.tolist() == [len(x) // 4 for x in want]
+
+
+def test_places_of_hashes():
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 1 << 64, 5000, np.uint64))
+    asked = np.concatenate([keys, rng.integers(0, 1 << 64, 5000, np.uint64), np.array([0, 1, (1 << 64) - 1], np.uint64)])
+    for table in (keys, keys[1000:1001], keys[:-1000]):
+        assert L._find(table, asked, L._firsts(table)).tolist() == L._find(table, asked).tolist()
+    assert L._firsts(np.arange(100, dtype=np.uint64)) is None and L._firsts(keys[:0]) is None  # these are looked up as usual
+
+
+def test_steps_read_their_own_files(spark, monkeypatch):
+    """The steps' table has a folder for each step, so that no step opens the files of the others."""
+    seen = []
+
+    def train(sequences, numbering):
+        seen.append([sequences.filter(L.F.col("step") == s)._jdf.queryExecution().executedPlan().toString() for s in range(3)])
+        assert sequences.schema["step"].dataType.simpleString() == "int" and sequences.count() == sum(not r.held for r in held)
+        return L.start(numbering.share)
+
+    monkeypatch.setattr(L, "train", train)
+    df = spark.createDataFrame([(k, f"a b{k}") for k in range(60)], "doc_id long, text string")
+    held = df.select((~L.in_training(L.F.col("doc_id"))).alias("held")).collect()
+    assert L.score_texts(df, VOCABULARY).count() == 60
+    assert seen and all("PartitionFilters: [isnotnull(step" in plan for plan in seen[0])
+
+
 def test_numbering():
     rng = np.random.default_rng(1)
     counts, kind = rng.zipf(1.5, 5000) % 1000, rng.integers(0, L.KINDS, 5000)
