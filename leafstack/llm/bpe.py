@@ -7,19 +7,19 @@ import json
 import re
 import struct
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafstack.llm.common import chunks
+from leafstack.llm.common import chunks, freeing
 
 #: Words whose ids are kept; when there are more, the memory starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Characters of text that are encoded together, and rows whose results are put out together: they bound what a task holds beside its batch.
-STEP, ROWS = 1_000_000, 1000
+STEP, ROWS = 250_000, 1000
 #: Words of more bytes are merged by a heap.
 LONG_WORD = 128
 NO_RANK = 1 << 60
@@ -228,6 +228,28 @@ class Codec:
         return " ".join([t for i in ids if (t := self.tokens.get(i)) is not None])
 
 
+def encode_batches(batches: Iterable[pa.RecordBatch], spec, kept: int, outputs: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """For each batch of columns to keep and then a text, those columns and outputs. spec: its value is the vocabulary's JSON."""
+    types = {"ids": pa.list_(pa.int32()), "decoded": pa.string(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+    codec = None
+    for batch in batches:
+        codec = codec or Codec(json.loads(spec.value))
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            made: dict[str, list] = {c: [] for c in outputs}
+            texts = [x or "" for x in part.column(kept).to_pylist()]
+            ends = np.cumsum([0, *map(len, texts)])
+            for first, end in chunks(ends, STEP):
+                for raw in codec.encode_all(texts[first:end]):
+                    ids = np.frombuffer(raw, "<u4")
+                    if "decoded" in made or "decoded_sha256" in made:
+                        decoded = codec.decode(ids.tolist())
+                    for c in outputs:
+                        made[c].append(ids.astype(np.int32) if c == "ids" else decoded if c == "decoded" else len(ids) if c == "n_tokens" else hashlib.sha256(raw if c == "ids_sha256" else decoded.encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([*part.columns[:kept], *[pa.array(made[c], types[c]) for c in outputs]], names=[*part.schema.names[:kept], *outputs])
+        batch = part = texts = made = None  # before the next batch is read
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """Encode and decode whole texts.
 
@@ -239,26 +261,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep:
     """
     spec = docs.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
     kinds = {"ids": "array<int>", "decoded": "string", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
-    types = {"ids": pa.list_(pa.int32()), "decoded": pa.string(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
     given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]] + [f"{c} {kinds[c]}" for c in outputs])
 
+    @freeing
     def work(batches):
-        codec = None
-        for batch in batches:
-            codec = codec or Codec(json.loads(spec.value))
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                made: dict[str, list] = {c: [] for c in outputs}
-                texts = [x or "" for x in part.column(len(keep)).to_pylist()]
-                ends = np.cumsum([0, *map(len, texts)])
-                for first, end in chunks(ends, STEP):
-                    for raw in codec.encode_all(texts[first:end]):
-                        ids = np.frombuffer(raw, "<u4")
-                        if "decoded" in made or "decoded_sha256" in made:
-                            decoded = codec.decode(ids.tolist())
-                        for c in outputs:
-                            made[c].append(ids.astype(np.int32) if c == "ids" else decoded if c == "decoded" else len(ids) if c == "n_tokens" else hashlib.sha256(raw if c == "ids_sha256" else decoded.encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *[pa.array(made[c], types[c]) for c in outputs]], names=[*part.schema.names[: len(keep)], *outputs])
+        return encode_batches(batches, spec, len(keep), outputs)
 
     return given.mapInArrow(work, schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafstack.llm.common import chunks, cut, drop_cut, meet, mix, run_hashes, small, text_buffers, whole_key, word_hashes, word_spans
+from leafstack.llm.common import chunks, cut, drop_cut, freeing, meet, mix, run_hashes, small, text_buffers, whole_key, word_hashes, word_spans
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -99,6 +99,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 def _sketch(docs: DataFrame) -> DataFrame:
     """(doc, version, content, bands) of texts with words; content is a digest of the words."""
 
+    @freeing
     def work(batches):
         for batch in batches:
             doc = batch.column("doc")
@@ -139,6 +140,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, least: float)
     spread = texts.join(fans.select(F.col("a").alias("doc"), "fan"), "doc").select(F.col("doc").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("fan") - 1)).alias("part"), F.col("text").alias("ta"))
     both = dealt.join(spread, ["a", "part"]).join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
 
+    @freeing
     def work(batches):
         for batch in batches:
             ok = np.zeros(batch.num_rows, bool)
@@ -180,6 +182,7 @@ def _across(left: DataFrame, docs: DataFrame, firsts: DataFrame, least: float) -
     dealt_out = fringe.union(block).join(texts, "doc").select("bucket", "i", "j", "side", "doc", "label", "text")
     dealt_out = dealt_out.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
 
+    @freeing
     def work(batches):
         here, held, index = None, [], None
         for batch in batches:

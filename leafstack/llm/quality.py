@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafstack.llm.common import BROADCAST_BYTES, chunks, cut, lower_ascii, text_buffers, word_hashes, word_spans
+from leafstack.llm.common import BROADCAST_BYTES, chunks, cut, freeing, lower_ascii, text_buffers, word_hashes, word_spans
 
 #: Words are hashed into 2**WORD_BITS features.
 WORD_BITS = 16
@@ -128,6 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     names = [f"t{i}" for i in range(len(targets))]
     given = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "key").groupBy("key").agg(F.min("text").alias("text"), *[F.min(t).alias(t) for t in names]).select("text", *names)
 
+    @freeing
     def work(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
@@ -154,6 +155,7 @@ def classify(docs: DataFrame, heads: list[Head], names: list[str], text: str = "
     left = [f for f in docs.schema.fields if keep or f.name != text]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in left] + [f"{c} double" for c in names])
 
+    @freeing
     def work(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(at))

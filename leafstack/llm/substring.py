@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafstack.llm.common import BROADCAST_BYTES, HOT_KEYS, chunks, cut, drop_cut, free, run_hashes, text_buffers, whole_key, word_hashes, word_spans
+from leafstack.llm.common import BROADCAST_BYTES, HOT_KEYS, chunks, cut, drop_cut, free, freeing, run_hashes, text_buffers, whole_key, word_hashes, word_spans
 
 #: Words whose hash can be a window's sketch; the sketch is the least hash among those in the window.
 GRAM = 4
@@ -133,6 +133,7 @@ def _sketches(spans: DataFrame, n: int, whole: bool, without=None) -> DataFrame:
     without: a broadcast of keys, in order, whose rows are left out.
     """
 
+    @freeing
     def work(batches):
         for batch in batches:
             doc, start = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "start"))
@@ -185,6 +186,7 @@ def _round(spans: DataFrame, n: int, whole: bool) -> DataFrame:
     hits = met.groupBy("doc").agg(F.collect_set(F.struct("key", code.alias("code"))).alias("hits"))  # of one document
     hits = hits.select("doc", F.transform("hits", lambda x: x.key).alias("keys"), F.transform("hits", lambda x: x.code).alias("codes"))
 
+    @freeing
     def route(batches):
         for batch in batches:
             out: list[tuple] = []
@@ -221,6 +223,7 @@ def _round(spans: DataFrame, n: int, whole: bool) -> DataFrame:
     routed = spans.join(hits, "doc").mapInArrow(route, "shard long, salt long, later int, doc long, version long, start long, text binary")
     routed = routed.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "later")
 
+    @freeing
     def stream(batches):
         here, automaton = None, None
         for batch in batches:
@@ -286,6 +289,7 @@ def remove_repeats(docs: DataFrame, n: int = 13, key: str = "doc_id", text: str
     kept = [c for c in names if c != text or text in outputs]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in kept] + [f"{c} {kinds[c][0]}" for c in more])
 
+    @freeing
     def work(batches):
         for batch in batches:
             made: dict[str, list] = {c: [] for c in outputs}

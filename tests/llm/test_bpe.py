@@ -71,3 +71,38 @@ def test_rows_in_parts(spark, both, monkeypatch):
     rows = [(k, None if k % 10 == 3 else f"Text {k} of many " * (k % 5)) for k in range(60)]
     got = bpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), PATH, outputs=("ids", "n_tokens")).collect()
     assert [(r.doc_id, r.ids, r.n_tokens) for r in sorted(got)] == [(k, ids := both[1].encode(t or "", add_special_tokens=False).ids, len(ids)) for k, t in rows]
+
+
+def test_memory_of_a_task():
+    """Many different words: what a task holds beside the vocabulary stays small."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    rows = [" ".join(f"{rng.randrange(1 << 28):07x}" for _ in range(400)) for _ in range(900)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(rows[:0])], ["text"]), pa.RecordBatch.from_arrays([pa.array(rows)], ["text"])]
+    spec = SimpleNamespace(value=open(PATH, encoding="utf-8").read())
+    tracemalloc.start()
+    try:
+        assert sum(out.num_rows for out in bpe.encode_batches(batches, spec, 0, ("n_tokens",))) == 900
+        assert tracemalloc.get_traced_memory()[1] < 70e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_is_given_back(monkeypatch):
+    """A worker that stays for later tasks doesn't keep what its allocators hold: also when its task ends early."""
+    from leafstack.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    run = common.freeing(lambda batches: (2 * b for b in batches))
+    assert list(run(iter([1, 2]))) == [2, 4] and calls == [1]
+    begun = run(iter([1, 2]))
+    assert next(begun) == 2 and calls == [1]
+    begun.close()
+    assert calls == [1, 1]
+    monkeypatch.undo()
+    common.give_back()
