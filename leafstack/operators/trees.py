@@ -61,11 +61,17 @@ def folder_neighbours(nodes: DataFrame, viewable: str = "viewable") -> DataFrame
 
 
 def find_next(nodes: DataFrame, match: Column, viewable: str = "viewable") -> DataFrame:
-    """For each viewable node the next one that matches, wrapping around to those before it; itself doesn't count."""
+    """For each viewable node the next one that matches, wrapping around to those before it; itself doesn't count.
+
+    One pass backwards through a tree: frames that grow from the end, as those that shrink towards it are read again
+    for every row. A node without a match after it gets the tree's first one, if there is one besides itself.
+    """
     seen = nodes.filter(viewable).withColumn("hit", F.when(match, F.col("node")))
-    after = walk().rowsBetween(1, Window.unboundedFollowing)
-    before = walk().rowsBetween(Window.unboundedPreceding, -1)
-    return seen.withColumn("found", F.coalesce(F.first("hit", ignorenulls=True).over(after), F.first("hit", ignorenulls=True).over(before))).drop("hit")
+    back = Window.partitionBy("tree").orderBy(F.col("sort_path").desc())
+    whole = back.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = F.last("hit", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    others = F.count("hit").over(whole) - F.col("hit").isNotNull().cast("int")
+    return seen.withColumn("found", F.coalesce(after, F.when(others > 0, F.last("hit", ignorenulls=True).over(whole)))).drop("hit")
 
 
 def beneath(nodes: DataFrame, aggregates: list[Column], include_self: bool = True) -> DataFrame:

@@ -209,6 +209,23 @@ def test_charsets():
     assert B.detect(b"") == (None, 0.0)
 
 
+def test_find_next_wraps(spark):
+    """Against a walk in plain Python, in trees with no, one, a few and only matches."""
+    rng = random.Random(3)
+    trees = {f"t{k}": [(f"n{i}", rng.random() < p, rng.random() < 0.8) for i in range(n)] for k, (n, p) in enumerate([(1, 0), (1, 1), (30, 0), (30, 0.04), (30, 0.3), (30, 1)])}
+    trees["one"] = [(f"n{i}", i == 3, True) for i in range(6)]
+    rows = [(t, x, [f"{i:03}"], hit, seen) for t, nodes in trees.items() for i, (x, hit, seen) in enumerate(nodes)]
+    got = R.find_next(spark.createDataFrame(rows, "tree string, node string, sort_path array<string>, hit_here boolean, viewable boolean").repartition(3), F.col("hit_here"))
+    assert got.columns == ["tree", "node", "sort_path", "hit_here", "viewable", "found"]
+    wanted = {}
+    for t, nodes in trees.items():
+        nodes = [n for n in nodes if n[2]]
+        for i, n in enumerate(nodes):
+            wanted[t, n[0]] = next((m[0] for m in nodes[i + 1 :] + nodes[:i] if m[1]), None)
+    assert {(r.tree, r.node): r.found for r in got.collect()} == wanted
+    assert wanted["one", "n3"] is None and wanted["one", "n4"] == "n3"
+
+
 def test_charsets_of_odd_texts(spark, tmp_path):
     """Missing and empty texts, escape sequences, marks and blanks: as the SQL has it."""
     import duckdb

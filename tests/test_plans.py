@@ -25,3 +25,9 @@ def test_filters(spark, sf_dir, name, what):
 @pytest.mark.parametrize("name", sorted(registry.oracles()))
 def test_no_cross_joins(spark, sf_dir, name):
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan(spark, sf_dir, name))
+
+
+@pytest.mark.parametrize("name", ["find_next", "nav_next", "nav_next_wrap", "nav_folder_next", "nav_after_removal"])
+def test_no_frames_that_shrink(spark, sf_dir, name):
+    """A frame from near the row to the end of its tree is read again for every row."""
+    assert not re.search(r"specifiedwindowframe\(\w+, (?!unboundedpreceding)[^,]+, unboundedfollowing", plan(spark, sf_dir, name))
